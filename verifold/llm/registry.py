@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .mixing import OP9_SQL, op9_mix_poisson
+from .quality import OP1_SQL, op1_quality_lines
 from .sharding import op6_shard_lpt
 
 QUERIES = {
+    "op1_quality_lines": op1_quality_lines,
     "op6_shard_lpt": op6_shard_lpt,
     "op9_mix_poisson": op9_mix_poisson,
 }
-ORACLE_SQL = {"op9_mix_poisson": OP9_SQL}
+ORACLE_SQL = {"op1_quality_lines": OP1_SQL, "op9_mix_poisson": OP9_SQL}

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .html import op10_html_text
+from .media import op4_media_columns
 from .mixing import OP9_SQL, op9_mix_poisson
 from .quality import OP1_SQL, op1_quality_lines
+from .secrets import op3_secret_scan
 from .sharding import op6_shard_lpt
 
 QUERIES = {
     "op1_quality_lines": op1_quality_lines,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_media_columns": op4_media_columns,
     "op6_shard_lpt": op6_shard_lpt,
     "op9_mix_poisson": op9_mix_poisson,
+    "op10_html_text": op10_html_text,
 }
 ORACLE_SQL = {"op1_quality_lines": OP1_SQL, "op9_mix_poisson": OP9_SQL}

@@ -8,13 +8,15 @@ from .mixing import OP9_SQL, op9_mix_poisson
 from .quality import OP1_SQL, op1_quality_lines
 from .secrets import op3_secret_scan
 from .sharding import op6_shard_lpt
+from .substring import OP2_SQL, op2_substring_dedup
 
 QUERIES = {
     "op1_quality_lines": op1_quality_lines,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_media_columns": op4_media_columns,
     "op6_shard_lpt": op6_shard_lpt,
     "op9_mix_poisson": op9_mix_poisson,
     "op10_html_text": op10_html_text,
 }
-ORACLE_SQL = {"op1_quality_lines": OP1_SQL, "op9_mix_poisson": OP9_SQL}
+ORACLE_SQL = {"op1_quality_lines": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op9_mix_poisson": OP9_SQL}

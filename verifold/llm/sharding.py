@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._ranks import ranked
 from ._spark import cut
 
-#: Rows of one class that a window ranks in one piece, about.
-RANK_ROWS = 50_000
-
 
 def schedule(classes: list[tuple[int, int]], n_shards: int) -> list[tuple[int, list[int], list[int]]]:
     """Longest-processing-time over size classes [(size, how many groups)].
@@ -57,21 +55,6 @@ def schedule(classes: list[tuple[int, int]], n_shards: int) -> list[tuple[int, l
     return out
 
 
-def _ranked(df: DataFrame, keys: list[str], salt: F.Column, order: list[str], name: str, pieces: int) -> DataFrame:
-    """Rank from 0 within keys, no class in one task: ranks within salted pieces plus the counts of earlier pieces."""
-    df = df.withColumn("_piece", F.pmod(salt, F.lit(pieces)))
-    counts = df.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order))
-    return (
-        df.withColumn("_in", within)
-        .join(counts, [*keys, "_piece"])
-        .withColumn(name, (F.col("_before") + F.col("_in") - 1).cast("long"))
-        .drop("_piece", "_before", "_in")
-    )
-
-
 def lpt_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put every row into a shard: doc_id, size, text_crc32, group_rows, shard, slot.
 
@@ -98,12 +81,11 @@ def lpt_shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text
         "_bytes long, _shards array<int>, _ends array<long>",
     )
     n = sum(histogram["n"].to_pylist())
-    ranked = _ranked(groups, ["_bytes"], F.xxhash64("_group"), ["_group"], "_rank", max(8, n // RANK_ROWS))
+    in_class = ranked(groups, ["_bytes"], F.xxhash64("_group"), ["_group"], "_rank", n)
     shard = F.element_at("_shards", (F.size(F.filter("_ends", lambda end: end <= F.col("_rank"))) + 1).cast("int"))
-    placed = ranked.join(plan, "_bytes").select("_group", "group_rows", shard.alias("shard"))
+    placed = in_class.join(plan, "_bytes").select("_group", "group_rows", shard.alias("shard"))
     rows = cut(base.join(placed, "_group").drop("_group"))
-    pieces = max(64, rows.count() // (n_shards * RANK_ROWS) + 1)
-    return _ranked(rows, ["shard"], F.xxhash64("doc_id", "text_crc32"), ["doc_id", "text_crc32"], "slot", pieces)
+    return ranked(rows, ["shard"], F.xxhash64("doc_id", "text_crc32"), ["doc_id", "text_crc32"], "slot", rows.count())
 
 
 def op6_shard_lpt(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .html import op10_html_text
 from .media import op4_media_columns
 from .mixing import OP9_SQL, op9_mix_poisson
+from .near_dedup import op8_near_dedup
 from .packing import op7_pack_sequences
 from .quality import OP1_SQL, op1_quality_lines
 from .secrets import op3_secret_scan
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_media_columns": op4_media_columns,
     "op6_shard_lpt": op6_shard_lpt,
     "op7_pack_sequences": op7_pack_sequences,
+    "op8_near_dedup": op8_near_dedup,
     "op9_mix_poisson": op9_mix_poisson,
     "op10_html_text": op10_html_text,
 }

@@ -7,6 +7,7 @@ from .media import op4_media_columns
 from .mixing import OP9_SQL, op9_mix_poisson
 from .near_dedup import op8_near_dedup
 from .packing import op7_pack_sequences
+from .pii import op5_pii_bootstrap
 from .quality import OP1_SQL, op1_quality_lines
 from .secrets import op3_secret_scan
 from .sharding import op6_shard_lpt
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_media_columns": op4_media_columns,
+    "op5_pii_bootstrap": op5_pii_bootstrap,
     "op6_shard_lpt": op6_shard_lpt,
     "op7_pack_sequences": op7_pack_sequences,
     "op8_near_dedup": op8_near_dedup,

@@ -101,7 +101,7 @@ def _instances(based: DataFrame) -> DataFrame:
         lambda s: ~F.exists("pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         & (F.length(_digits(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))) >= MIN_DIGITS),
     )
-    d = d.select("doc_id", "key", "text", F.explode(F.concat("pii_base", clear)).alias("s"))
+    d = d.select("doc_id", "key", "text", F.explode_outer(F.concat("pii_base", clear)).alias("s")).where("s IS NOT NULL")
     low = F.greatest(F.col("s.start") - CONTEXT_CHARS, F.lit(0))
     return d.select(
         "doc_id",

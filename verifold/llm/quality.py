@@ -108,7 +108,10 @@ def score(docs: DataFrame, text_col: str = "text", window: int = 8, min_kept_sha
 
 def quality_filter(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
     """The kept rows of docs, their text without failing lines; n_chars, if there is one, counts the new text."""
-    d = score(docs, text_col, **rules).where("kept")
+    # a filter is pushed below projections with its columns' whole expressions in place of their names, nested here
+    # many times over; a column that isn't deterministic holds it where it stands
+    scored = score(docs, text_col, **rules).withColumn("_row", F.monotonically_increasing_id())
+    d = scored.where(F.col("kept") & (F.col("_row") >= 0))
     d = d.withColumn(text_col, F.col("cleaned_text"))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))

@@ -6,10 +6,11 @@ the signature and, in the last interval, a uniform level: points above c don't c
 least time of all shingles, so two multisets agree in it with the probability of their weighted Jaccard similarity.
 Processes stop at the largest time in the signature so far, so a text costs about its shingles and m log m points.
 
-Classes. Equal texts are one node. Bands of the signature put nodes into buckets; the members of a bucket are held
-against leaders, exactly, by the overlap of their multisets. Buckets that still hold several classes get more leaders,
-eight times as many each round, until each pair of a bucket is in one class or has been compared: no link that a band
-found is lost, and pairs are not expanded within a class.
+Classes. Equal texts are one node. Bands of the signature put nodes into buckets. First the members of a bucket are
+held against one leader, the member that meets most others, exactly, by the overlap of their multisets: that joins most
+near copies. Then the members of buckets that still hold several classes meet in blocks of BLOCK by BLOCK, where all
+pairs of different classes are compared, each in the first band that it shares, and only links that join classes leave
+the block: no link that a band found is lost, and no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
-_NODE_SEED = 7
+#: Members of a bucket that meet in one block.
+BLOCK = 512
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,34 +134,131 @@ def _sign(width: int, bands: int, rows: int):
     return sign
 
 
-def overlaps(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
-    """The weighted Jaccard similarity of the shingle multisets of each pair of texts."""
-    (ta, ha), (tb, hb) = shingles(left, width), shingles(right, width)
-    text = np.concatenate([ta, tb])
-    side = np.concatenate([np.zeros(len(ta), np.int64), np.ones(len(tb), np.int64)])
-    key = mix(np.concatenate([ha, hb]) ^ mix(text.astype(np.uint64), 11), 12)
-    if not len(key):
-        return np.zeros(len(left))
-    order = np.argsort(key)
-    sorted_key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
-    in_right = np.add.reduceat(side[order], first)
-    in_left = np.diff(np.append(first, len(key))) - in_right
-    both = np.bincount(text[order][first], np.minimum(in_left, in_right), len(left))
-    total = np.bincount(text, minlength=len(left))
-    return both / np.maximum(total - both, 1)
+_FEATURES = "node binary, n long, bands array<long>, grams binary"
+
+
+def _features(width: int):
+    """Adds the multiset of each text as sorted numbers: the k-th occurrence of a shingle has a number of its own."""
+
+    def make(batches):
+        for batch in batches:
+            for piece in _pieces(batch, "text"):
+                text, hashes, counts = multiset(*shingles(piece["text"], width))
+                owner = np.repeat(np.arange(len(counts)), counts)
+                nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+                grams = np.where(nth == 0, hashes[owner], mix(hashes[owner] ^ mix(nth.astype(np.uint64), 41), 42))
+                order = np.lexsort((grams, text[owner]))
+                grams, ends = grams[order], np.cumsum(np.bincount(text[owner], minlength=piece.num_rows))
+                held = [g.tobytes() for g in np.split(grams, ends[:-1])] if piece.num_rows else []
+                yield pa.RecordBatch.from_arrays([piece["node"], piece["n"], piece["bands"], pa.array(held, pa.binary())], names=["node", "n", "bands", "grams"])
+
+    return make
+
+
+def similarity_of(x: np.ndarray, y: np.ndarray) -> float:
+    """The weighted Jaccard similarity of two multisets as _features() writes them."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
 
 
-def _verify(width: int, similarity: float):
+def _verify(similarity: float):
     def verify(batches):
         for batch in batches:
-            for piece in _pieces(batch, "text_b", 2_000_000):
-                alike = overlaps(piece["text_a"], piece["text_b"], width) >= similarity
-                yield pa.RecordBatch.from_arrays([piece["a"].filter(pa.array(alike)), piece["b"].filter(pa.array(alike))], names=["a", "b"])
+            left = [np.frombuffer(g.as_buffer(), np.uint64) for g in batch["grams_a"]]
+            right = [np.frombuffer(g.as_buffer(), np.uint64) for g in batch["grams_b"]]
+            alike = pa.array([similarity_of(x, y) >= similarity for x, y in zip(left, right, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(alike), batch["b"].filter(alike)], names=["a", "b"])
 
     return verify
 
 
+def overlap_matrix(grams: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two of the sets share, by products of column blocks; numbers that only one set has don't count."""
+    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    _, column, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(grams), len(grams)), np.float32)
+    for at in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        x = np.zeros((len(grams), 4096), np.float32)
+        x[owner[a:b], column[a:b] - at] = 1
+        out += x @ x.T
+    return out
+
+
+def links_in(rows: list[dict], similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links among the rows of one block or between those of two, as many as join their classes.
+
+    A pair counts in the first band that it shares, between different classes so far, if its sizes allow the similarity.
+    """
+    n = np.array([r["n"] for r in rows])
+    bands = np.array([r["bands"] for r in rows], np.int64)
+    own = np.array([r["own"] for r in rows])
+    _, label = np.unique(np.array([r["label"].hex() for r in rows]), return_inverse=True)
+    open_pairs = np.triu(label[:, None] != label[None], 1)
+    if rows[0]["bi"] != rows[0]["bj"]:
+        open_pairs &= own[:, None] != own[None]
+    open_pairs &= np.minimum(n[:, None], n[None]) >= similarity * np.maximum(n[:, None], n[None])
+    for j in range(int(np.flatnonzero(bands[0] == rows[0]["key"])[0])):
+        if not open_pairs.any():
+            return []
+        open_pairs &= bands[:, j][:, None] != bands[:, j][None]
+    xs, ys = np.nonzero(open_pairs)
+    if not len(xs):
+        return []
+    grams = [np.frombuffer(r["grams"], np.uint64) for r in rows]
+    if len(xs) < 4 * len(rows):
+        alike = np.array([similarity_of(grams[x], grams[y]) >= similarity for x, y in zip(xs, ys, strict=True)])
+    else:
+        both = overlap_matrix(grams)[xs, ys].astype(np.float64)
+        alike = both >= similarity * (n[xs] + n[ys] - both)
+    parent = np.arange(label.max() + 1)
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    for x, y in zip(xs[alike], ys[alike], strict=True):
+        a, b = top(label[x]), top(label[y])
+        if a != b:
+            parent[a] = b
+            found.append(tuple(sorted((rows[x]["node"], rows[y]["node"]))))
+    return found
+
+
+def _link_blocks(similarity: float):
+    """Over rows sorted by (key, bi, bj): the links of each such group; a group may go over several batches."""
+
+    def link(batches):
+        held: list[dict] = []
+        group = None
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                at = (row["key"], row["bi"], row["bj"])
+                if at != group:
+                    if len(held) > 1:
+                        found += links_in(held, similarity)
+                    held, group = [], at
+                held.append(row)
+            yield _edges(found)
+        yield _edges(links_in(held, similarity) if len(held) > 1 else [])
+
+    return link
+
+
+def _edges(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) of each node of the written table edges (a, b).
 
@@ -206,39 +305,31 @@ def near_duplicates(
     central = member.groupBy("node").agg(F.sum("members").alias("central"))
     member = cut(member.join(central, "node"))  # key, node, n, members, central
 
-    reps = nodes.select("node", "rep")
-    chosen = source.join(reps, "node").where("doc_id = rep").select("node", "text")  # one text per node (repeated rows: equal ones)
+    reps = nodes.select("node", "rep", "n", "bands").join(central.select("node"), "node")
+    chosen = source.join(reps, "node").where("doc_id = rep").select("node", "n", "bands", "text")
+    made = chosen.mapInArrow(_features(width), _FEATURES)
+    features = cut(made.dropDuplicates(["node"]))  # repeated rows give a node twice
+
     rank = F.struct("central", "node")
     leaders = member.groupBy("key").agg(F.max(rank)["node"].alias("leader"), F.max_by("n", rank).alias("leader_n"))
-    edges: DataFrame | None = None
-    tested: DataFrame | None = None
-    labels: DataFrame | None = None
-    wanted = 1
-    pairs = member.join(leaders, "key").where("node <> leader")
-    while True:
-        alike = F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n")  # no similarity exceeds the ratio of sizes
-        pairs = pairs.where(alike).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        with_b = pairs.join(chosen.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        with_a = with_b.join(chosen.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        found = cut(with_a.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, similarity), "a binary, b binary").distinct())
-        if wanted == 1 or not found.isEmpty():
-            edges = found if edges is None else cut(edges.unionByName(found))
-            labels = components(edges)
-        wanted *= 8
-        labelled = member.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
-        # a bucket whose members have all been leaders is done
-        split = split.where((F.col("low") != F.col("high")) & (F.col("size") > F.lit(wanted // 8 if wanted > 8 else 1)))
-        live = cut(labelled.join(split.select("key", "size"), "key"))
-        if live.isEmpty():
-            break
-        lot = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        lead = live.where(lot * F.col("size") < wanted).select("key", F.col("node").alias("leader"), F.col("n").alias("leader_n"), F.col("label").alias("leader_label"))
-        pairs = live.join(lead, "key").where("label <> leader_label")
+    alike = F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n")  # no similarity exceeds the ratio of sizes
+    pairs = member.join(leaders, "key").where((F.col("node") != F.col("leader")) & alike)
+    pairs = cut(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    side = lambda x: features.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}"))
+    edges = cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(similarity), "a binary, b binary"))
+    labels = components(edges)
+
+    labelled = member.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    split = split.where("low <> high").select("key", blocks.alias("blocks"))
+    live = labelled.join(split, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    live = live.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "label")
+    dealt = live.join(features, "node").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    more = cut(dealt.mapInArrow(_link_blocks(similarity), "a binary, b binary").distinct())
+    if not more.isEmpty():
+        labels = components(cut(edges.unionByName(more)))
 
     classes = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("rep").alias("class_id"))

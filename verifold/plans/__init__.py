@@ -1,0 +1,15 @@
+"""Registered queries: each module has QUERIES and SQL."""
+
+from __future__ import annotations
+
+from . import verdict_queries
+
+MODULES = (verdict_queries,)
+
+
+def plans() -> dict:
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
+
+
+def oracles() -> dict[str, str]:
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import verdict_queries
+from . import relational_queries, text_queries, verdict_queries
 
-MODULES = (verdict_queries,)
+MODULES = (verdict_queries, relational_queries, text_queries)
 
 
 def plans() -> dict:

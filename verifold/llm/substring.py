@@ -53,6 +53,22 @@ def _unpack_sorted(data: bytes, n: int) -> np.ndarray:
     return planes.reshape(-1).view(">u8").astype(np.uint64)
 
 
+def _pack_small(x: np.ndarray) -> bytes:
+    """Small unsigned numbers: the low bytes as they are, the others, of few values, compressed."""
+    planes = x.view(np.uint8).reshape(-1, x.itemsize)
+    high = zstandard.compress(planes[:, 1:].T.tobytes(), 1)
+    return x.itemsize.to_bytes(1, "little") + len(high).to_bytes(4, "little") + high + planes[:, 0].tobytes()
+
+
+def _unpack_small(data: bytes) -> np.ndarray:
+    width, size = data[0], int.from_bytes(data[1:5], "little")
+    low = np.frombuffer(data, np.uint8, offset=5 + size)
+    planes = np.empty((len(low), width), np.uint8)
+    planes[:, 0] = low
+    planes[:, 1:] = np.frombuffer(zstandard.decompress(data[5 : 5 + size]), np.uint8).reshape(width - 1, len(low)).T
+    return planes.reshape(-1).view(np.uint16 if width == 2 else np.uint32)
+
+
 class _Group:
     """The windows of a group's documents, in order of id (null first), then text."""
 
@@ -103,7 +119,7 @@ def _send(width: int, n_ranges: int):
             used, doc = np.unique(doc, return_inverse=True)
             small = np.uint16 if len(used) < 65536 else np.uint32
             ids = _pack(group.ids[used])
-            docs = len(ids).to_bytes(4, "little") + small().itemsize.to_bytes(1, "little") + ids + doc.astype(small).tobytes()
+            docs = len(ids).to_bytes(4, "little") + ids + _pack_small(doc.astype(small))
             rows.append((int(r), g, int(b - a), _pack_sorted(group.hashes[a:b]), group.distinct_checks[a:b].tobytes(), docs))
         names = [x.split()[0] for x in _SENT.split(", ")]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -120,8 +136,8 @@ def _answer(table: pa.Table) -> pa.Table:
         hashes.append(_unpack_sorted(row["hashes"], row["n"]))
         checks.append(np.frombuffer(row["checks"], np.uint16))
         docs, size = row["docs"], int.from_bytes(row["docs"][:4], "little")
-        known = _unpack(docs[5 : 5 + size], np.int64)
-        ids.append(known[np.frombuffer(docs, np.uint16 if docs[4] == 2 else np.uint32, offset=5 + size)])
+        known = _unpack(docs[4 : 4 + size], np.int64)
+        ids.append(known[_unpack_small(docs[4 + size :])])
         sizes.append(row["n"])
     h, c, d = np.concatenate(hashes), np.concatenate(checks), np.concatenate(ids)
     order = np.argsort(h, kind="stable")

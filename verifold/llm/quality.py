@@ -13,6 +13,9 @@ NAVIGATION = (
     r"subscribe|share(?: this)?(?: on .{1,20})?|tweet|print|search|next page|page \d+ of \d+)\s*[>»|:.]*\s*$"
 )
 TRAIL = r"^(?:[^|»›>•·]{1,30}\s[|»›>•·]\s){2,}[^|»›>•·]{0,30}$"
+#: NAVIGATION matches no line of more words; a trail has one of these marks.
+NAVIGATION_WORDS = 14
+MARKS = r"[|»›>•·]"
 #: Phrases of boilerplate; a line that holds one and has few words fails.
 BOILERPLATE = (
     r"(?i)(?:all rights reserved|terms (?:of (?:use|service)|and conditions)|privacy policy|cookie policy|(?:uses?|accept) cookies|"
@@ -28,16 +31,18 @@ def words(text: F.Column) -> F.Column:
 
 
 def line_passes(
-    line: F.Column, max_bare_words: int = 6, max_boilerplate_words: int = 30, max_symbol_share: float = 0.3
+    line: F.Column, n_words: F.Column, max_bare_words: int = 6, max_boilerplate_words: int = 30, max_symbol_share: float = 0.3
 ) -> F.Column:
-    """False for a line that breaks a rule: no sentence end and few words, navigation, boilerplate, or symbols."""
-    n_words = F.size(words(line))  # repeated below: within a lambda no common subexpressions are shared, and lines are short
+    """False for a line that breaks a rule: no sentence end and few words, navigation, boilerplate, or symbols.
+
+    Counts come before patterns, so long lines of prose meet none but the one for marks between labels.
+    """
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    bare = ~line.rlike(ENDING) & (n_words <= max_bare_words)
-    navigation = line.rlike(NAVIGATION) | line.rlike(TRAIL)
-    boilerplate = line.rlike(BOILERPLATE) & (n_words <= max_boilerplate_words)
+    bare = (n_words <= max_bare_words) & ~line.rlike(ENDING)
+    navigation = ((n_words <= NAVIGATION_WORDS) & line.rlike(NAVIGATION)) | (line.rlike(MARKS) & line.rlike(TRAIL))
+    boilerplate = (n_words <= max_boilerplate_words) & line.rlike(BOILERPLATE)
     noisy = symbols > n_words * max_symbol_share
-    return (n_words > 0) & ~(bare | navigation | boilerplate | noisy)
+    return (n_words > 0) & ~(noisy | bare | navigation | boilerplate)
 
 
 def score(docs: DataFrame, text_col: str = "text", window: int = 8, min_kept_share: float = 0.5, min_words: int = 20) -> DataFrame:
@@ -54,15 +59,16 @@ def score(docs: DataFrame, text_col: str = "text", window: int = 8, min_kept_sha
     text = F.coalesce(F.col(text_col), F.lit(""))
     long = lambda c: c.cast("long")
     d = docs.select("*", text.alias("_t"))
-    d = d.withColumns({"_words": words(F.col("_t")), "_lines": F.split("_t", "\n")})
+    split = F.transform(F.split("_t", "\n"), lambda x: F.struct(x.alias("line"), words(x).alias("words")))
+    d = d.withColumn("_rows", split).withColumn("_words", F.flatten(F.transform("_rows", lambda r: r["words"])))
     n = F.size("_words")
     d = d.withColumns(
         {
             "n_words": long(n),
             "word_chars": long(F.length(F.translate("_t", " \t\n\x0b\x0c\r", ""))),
             "n_symbols": long(F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))),
-            "_full": F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            "_good": F.filter("_lines", lambda x: line_passes(x)),
+            "_full": F.transform(F.filter("_rows", lambda r: F.size(r["words"]) > 0), lambda r: r["line"]),
+            "_good": F.filter("_rows", lambda r: line_passes(r["line"], F.size(r["words"]))),
             "_hash": F.transform("_words", lambda w: F.xxhash64(w)),
         }
     )
@@ -97,11 +103,12 @@ def score(docs: DataFrame, text_col: str = "text", window: int = 8, min_kept_sha
         {
             "n_dup_lines": long(F.size("_full") - F.size(F.array_distinct("_full"))),
             "n_repeat_words": long(F.coalesce(covered, F.lit(0))),
-            "cleaned_text": F.array_join("_good", "\n"),
+            "n_kept_words": long(F.aggregate("_good", F.lit(0), lambda n, r: n + F.size(r["words"]))),
+            "cleaned_text": F.array_join(F.transform("_good", lambda r: r["line"]), "\n"),
         }
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    d = d.withColumns({"base_failed": failed, "n_kept_words": long(F.size(words(F.col("cleaned_text"))))})
+    d = d.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("n_kept_words") >= F.col("n_words") * min_kept_share)
     return d.withColumn("kept", kept).select(*docs.columns, *made)
 

@@ -99,10 +99,18 @@ def extract_claims(spark, d):
     return found.where("metric LIKE '%balance%'").select("doc_id", "value", "metric", "units", F.col("parsed.kind").alias("kind"))
 
 
-@query("extract_refusals")
+@query(
+    "extract_refusals",
+    """
+SELECT c_custkey AS doc_id, unnest(['selection', 'selection', 'admission', 'selection', 'selection']) AS stage,
+  unnest(['outside_sections', 'no_named_metric', 'partial_value', 'reference_numeral', 'reference_numeral']) AS cause,
+  unnest([regexp_extract(c_name, '[0-9]+'), (c_nationkey + 3)::VARCHAR, '0.25', '1', '2020']) AS value FROM customer
+""",
+)
 def extract_refusals(spark, d):
+    """Values of the papers that are no claims, each with its one cause."""
     _, refusals = extraction.extract(_papers(spark, d))
-    return refusals
+    return refusals.select("doc_id", "stage", "cause", "value")
 
 
 @query("study_parameters", "SELECT c_custkey AS doc_id, 'n' AS name, (c_nationkey + 3)::VARCHAR AS value FROM customer")

@@ -112,7 +112,7 @@ def test_claim_id_frames_its_fields(spark):
     d = spark.createDataFrame([("a", "bc", None), ("ab", "c", None), ("a", "bc", "")], "t string, m string, u string")
     ids = [r["i"] for r in d.select(claims.claim_id(F.col("t"), F.col("m"), F.col("u")).alias("i")).collect()]
     assert len(set(ids)) == 3
-    assert ids[0] == hashlib.sha256(b"verifold.claim.v1\x01" + b"1:a\x01" + b"2:bc\x00:").hexdigest()
+    assert ids[0] == hashlib.sha256(b"verifold.claim.v1\x01:1:a\x01:2:bc\x00:").hexdigest()
 
 
 def test_bank_within_a_batch(spark):
@@ -176,7 +176,7 @@ def write_record(path, value, located):
     data = json.dumps({"metrics": {"acc": 1}}).replace("1", located).encode()
     sha = hashlib.sha256(data).hexdigest()
     (path / "objects" / sha).write_bytes(data)
-    cid = hashlib.sha256(b"verifold.claim.v1\x01" + f"{len(value)}:{value}".encode() + b"\x01" + b"3:acc\x00:").hexdigest()
+    cid = hashlib.sha256(b"verifold.claim.v1\x01:" + f"{len(value)}:{value}".encode() + b"\x01:3:acc\x00:").hexdigest()
     (path / "claims.json").write_text(json.dumps({"claims": [{"text": value, "metric": "acc", "context": "", "start": 0, "end": 1}, {"text": "7", "metric": "x", "context": "", "start": 0, "end": 1}]}))
     (path / "bindings.json").write_text(json.dumps({"bindings": [{"claim_id": cid, "artifact": "r.json", "locator": {"kind": "json_pointer", "pointer": "/metrics/acc"}}]}))
     (path / "trace.json").write_text(json.dumps({"run_id": "r", "failure": None, "causes": [], "stale": [], "artifacts": [{"kind": "json", "relpath": "r.json", "sha256": sha, "size": 1, "diagnostic_only": False}]}))

@@ -10,9 +10,9 @@ CLAIM_TAG, PAPER_TAG = "verifold.claim.v1", "verifold.paper.v1"
 
 
 def encoded(field: Column) -> Column:
-    """A field of a preimage: byte 0 and a colon if null, else byte 1, the length in bytes, a colon and the UTF-8."""
+    """A field of a preimage: byte 0 and a colon if null, else byte 1, a colon, the length in bytes, a colon and the UTF-8."""
     raw = F.encode(field, "UTF-8")
-    some = F.concat(F.lit(b"\x01"), F.encode(F.octet_length(raw).cast("string"), "UTF-8"), F.lit(b":"), raw)
+    some = F.concat(F.lit(b"\x01:"), F.encode(F.octet_length(raw).cast("string"), "UTF-8"), F.lit(b":"), raw)
     return F.when(field.isNull(), F.lit(b"\x00:")).otherwise(some)
 
 

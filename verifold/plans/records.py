@@ -21,7 +21,8 @@ TRACE = (
 
 
 def _member(files: DataFrame, name: str, schema: str) -> DataFrame:
-    text = F.decode("content", "UTF-8")
+    # the condition stands in the expression too: a filter on what is parsed may be moved before the one on the name
+    text = F.when(F.col("member") == name, F.decode("content", "UTF-8"))
     return files.where(F.col("member") == name).select(F.col("record").alias("run_id"), F.from_json(text, schema, {"mode": "FAILFAST"}).alias("d"))
 
 

@@ -159,8 +159,8 @@ def merge_mentions(spark, d):
 @query(
     "claim_ids",
     """
-SELECT o_orderkey, sha256('verifold.claim.v1' || chr(1) || strlen(t) || ':' || t || chr(1) || strlen(m) || ':' || m ||
-  CASE WHEN u IS NULL THEN chr(0) || ':' ELSE chr(1) || strlen(u) || ':' || u END) AS claim_id
+SELECT o_orderkey, sha256('verifold.claim.v1' || chr(1) || ':' || strlen(t) || ':' || t || chr(1) || ':' || strlen(m) || ':' || m ||
+  CASE WHEN u IS NULL THEN chr(0) || ':' ELSE chr(1) || ':' || strlen(u) || ':' || u END) AS claim_id
 FROM (SELECT o_orderkey, o_custkey::VARCHAR AS t, o_orderpriority || ' é' AS m, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS u FROM orders)
 """,
 )

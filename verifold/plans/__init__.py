@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import intake_queries, relational_queries, text_queries, verdict_queries
+from . import intake_queries, relational_queries, stream_queries, text_queries, verdict_queries
 
-MODULES = (verdict_queries, relational_queries, text_queries, intake_queries)
+MODULES = (verdict_queries, relational_queries, text_queries, intake_queries, stream_queries)
 
 
 def plans() -> dict:

@@ -43,7 +43,8 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "iframe")
 ZONE_TAGS = ("article", "main")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag ends at the next tag's start at the latest, so what never closes costs no more than its own length.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME_PART = re.compile(r"[A-Za-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -78,6 +79,7 @@ def split_blocks(html: str) -> list[Block]:
     said: list[str] = []
     linked = out = zone = links = 0
     stack: list[tuple[str, bool]] = []  # open elements, and whether each turned output off
+    opened: dict[str, int] = {}  # how many of each are open
     heading = False
 
     def flush() -> None:
@@ -94,6 +96,7 @@ def split_blocks(html: str) -> list[Block]:
             out -= was_out
             zone -= tag in ZONE_TAGS
             links -= tag == "a"
+            opened[tag] -= 1
         del stack[k:]
 
     def put(text: str) -> None:
@@ -114,11 +117,11 @@ def split_blocks(html: str) -> list[Block]:
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                put(m[0][9:-3])
+                put(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if opened.get(tag) else None
             if tag in BLOCK_TAGS:
                 flush()
                 heading = False
@@ -149,6 +152,7 @@ def split_blocks(html: str) -> list[Block]:
         out += is_out
         zone += tag in ZONE_TAGS
         stack.append((tag, is_out))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return blocks
 

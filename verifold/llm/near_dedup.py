@@ -300,9 +300,10 @@ def near_duplicates(
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands")))
 
     band = nodes.select("node", "n", F.explode("bands").alias("key"))
-    sizes = band.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    # sums that are joined back are written first: the join then reads two plain exchanges, whose hot keys Spark can split
+    sizes = cut(band.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     member = cut(band.join(sizes, "key"))
-    central = member.groupBy("node").agg(F.sum("members").alias("central"))
+    central = cut(member.groupBy("node").agg(F.sum("members").alias("central")))
     member = cut(member.join(central, "node"))  # key, node, n, members, central
 
     reps = nodes.select("node", "rep", "n", "bands").join(central.select("node"), "node")
@@ -311,7 +312,7 @@ def near_duplicates(
     features = cut(made.dropDuplicates(["node"]))  # repeated rows give a node twice
 
     rank = F.struct("central", "node")
-    leaders = member.groupBy("key").agg(F.max(rank)["node"].alias("leader"), F.max_by("n", rank).alias("leader_n"))
+    leaders = cut(member.groupBy("key").agg(F.max(rank)["node"].alias("leader"), F.max_by("n", rank).alias("leader_n")))
     alike = F.least("n", "leader_n") >= similarity * F.greatest("n", "leader_n")  # no similarity exceeds the ratio of sizes
     pairs = member.join(leaders, "key").where((F.col("node") != F.col("leader")) & alike)
     pairs = cut(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
@@ -319,10 +320,10 @@ def near_duplicates(
     edges = cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(similarity), "a binary, b binary"))
     labels = components(edges)
 
-    labelled = member.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = cut(member.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    split = split.where("low <> high").select("key", blocks.alias("blocks"))
+    split = cut(split.where("low <> high").select("key", blocks.alias("blocks")))
     live = labelled.join(split, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     live = live.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "label")
@@ -331,8 +332,8 @@ def near_duplicates(
     if not more.isEmpty():
         labels = components(cut(edges.unionByName(more)))
 
-    classes = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = classes.groupBy("label").agg(F.min("rep").alias("class_id"))
+    classes = cut(nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    least = cut(classes.groupBy("label").agg(F.min("rep").alias("class_id")))
     named = classes.join(least, "label").select("node", "class_id")
     return signed.select("doc_id", "node").join(named, "node").select(F.expr(f"nullif(doc_id, {-(2**63) + 1} - 1)").alias("doc_id"), "class_id")
 

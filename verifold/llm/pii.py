@@ -138,10 +138,11 @@ def bootstrap(edges: DataFrame, rounds: int = 3, min_seeds: int = 3, confidence:
     for _ in range(rounds):
         patterns = scored.groupBy("pattern").agg(F.avg("score").alias("mean"), F.count_if(F.col("score") >= confidence).alias("support"))
         good = patterns.where((F.col("support") >= min_seeds) & (F.col("mean") >= confidence)).select("pattern", F.least("mean", F.lit(0.999)).alias("belief"))
-        held = edges.join(good, "pattern", "left")
+        good = cut(good)  # written sums: the joins below read plain exchanges, whose hot patterns and values Spark can split
+        held = cut(edges.join(good, "pattern", "left"))
         values = held.groupBy("value").agg(F.max("seed").alias("seed"), F.sum(F.log(1 - F.coalesce("belief", F.lit(0.0)))).alias("doubt"))
         score = F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt"))
-        scored = cut(held.join(values.select("value", score.alias("score")), "value"))
+        scored = cut(held.join(cut(values.select("value", score.alias("score"))), "value"))
         edges = scored.select("pattern", "value", "seed")
     return scored.where(F.col("belief").isNotNull() & ~F.col("seed") & (F.col("score") >= confidence)).select("pattern", "value")
 

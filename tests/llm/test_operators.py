@@ -73,6 +73,8 @@ def test_quality_lines(spark):
     lines = ["Home | About us | Contact", "We use cookies to improve this site.", "skip to content", "One whole sentence of prose stands here.", "###### $$$$ ****"]
     d = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
     assert quality.score(d).first()["cleaned_text"] == lines[3]
+    long = spark.createDataFrame([(1, "aa | " * 50000), (2, "word. " * 50000), (3, "x" * 500000)], "doc_id long, text string")
+    assert [r["kept"] for r in quality.score(long).orderBy("doc_id").collect()] == [False, False, False]
 
 
 def removal(rows, width=20):

@@ -12,7 +12,7 @@ NAVIGATION = (
     r"(?i)^\s*(?:home|menu|skip to (?:main )?content|back to top|previous|next|read more|click here|log ?in|sign ?(?:in|up)|"
     r"subscribe|share(?: this)?(?: on .{1,20})?|tweet|print|search|next page|page \d+ of \d+)\s*[>»|:.]*\s*$"
 )
-TRAIL = r"^(?:[^|»›>•·]{1,30}\s[|»›>•·]\s){2,}[^|»›>•·]{0,30}$"
+TRAIL = r"^(?:[^|»›>•·]{1,30}\s[|»›>•·]\s){2,}+[^|»›>•·]{0,30}$"  # possessive: no recursion on long trails
 #: NAVIGATION matches no line of more words; a trail has one of these marks.
 NAVIGATION_WORDS = 14
 MARKS = r"[|»›>•·]"
@@ -135,7 +135,7 @@ _W = r"[^\x20\x09-\x0D]+"
 _LINE_SQL = f"""
   (nw > 0 AND NOT (
     (NOT regexp_matches(line, '{ENDING.replace("'", "''")}') AND nw <= 6)
-    OR regexp_matches(line, '{NAVIGATION}') OR regexp_matches(line, '{TRAIL}')
+    OR regexp_matches(line, '{NAVIGATION}') OR regexp_matches(line, '{TRAIL.replace('}+', '}')}')
     OR (regexp_matches(line, '{BOILERPLATE}') AND nw <= 30)
     OR (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) > nw * 0.3::DOUBLE)))
 """

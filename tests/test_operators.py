@@ -53,7 +53,7 @@ def test_locate_causes_in_order(spark):
     artifacts = spark.createDataFrame(rows, "run_id long, relpath string, sha256 string, content binary, diagnostic_only boolean")
     stale = spark.createDataFrame([(1, "a.json"), (2, "a.json")], "run_id long, relpath string")
     got = {r["run_id"]: (r["text"], r["locate_cause"]) for r in locate.locate(bindings, artifacts, stale).collect()}
-    assert got == {1: (None, L.INVALID), 2: (None, "STALE_ARTIFACT"), 3: (None, "ARTIFACT_NOT_WRITTEN"), 4: (None, L.UNPARSEABLE), 5: ("5.0", None)}
+    assert got == {1: (None, L.INVALID), 2: (None, "STALE_ARTIFACT"), 3: (None, L.NO_BINDING), 4: (None, L.UNPARSEABLE), 5: ("5.0", None)}
 
 
 def test_caps_skip_and_go_on(spark):
@@ -84,10 +84,16 @@ def test_p_values():
 
 
 def test_consistency(spark):
-    texts = ["We saw t(28) = 2.20, p = .036 and F(2, 30) = 1.0, p < .01.", "The mean = 3.48 with n = 25. M = 3.45 (N = 20).", None, "χ²(1) = 3.84, p = .05; z = 1.70, p = .045"]
+    texts = ["We saw t(28) = 2.20, p = .036 and F(2, 30) = 1.0, p < .01.", "é😀 ok. The mean was 3.48 with n = 25. M = 3.47 (N = 25).", None, "χ²(1) = 3.84, p = .05; z = 1.70, p = .045; t = 2, p = .1; r(5) = 1.2, p < .05"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted((r["doc_id"], r["kind"], r["label"]) for r in consistency.check(d).collect())
-    assert got == [(0, "statistic", "consistent"), (0, "statistic", "inconsistent"), (3, "statistic", "consistent"), (3, "statistic", "consistent")]
+    found = consistency.check(d)
+    got = [(r["doc_id"], r["kind"], texts[r["doc_id"]][r["start"] : r["end"]], r["label"]) for r in found.orderBy("doc_id", "start").collect()]
+    assert got == [
+        (0, "statcheck", "t(28) = 2.20, p = .036", "CONSISTENT"), (0, "statcheck", "F(2, 30) = 1.0, p < .01", "INTERNAL_INCONSISTENCY"), (1, "grim", "mean was 3.48 with n = 25", "CONSISTENT"),
+        (1, "grim", "M = 3.47 (N = 25", "INTERNAL_INCONSISTENCY"), (3, "statcheck", "χ²(1) = 3.84, p = .05", "CONSISTENT"), (3, "statcheck", "z = 1.70, p = .045", "CONSISTENT"),
+        (3, "statcheck", "t = 2, p = .1", "NOT_APPLICABLE"), (3, "statcheck", "r(5) = 1.2, p < .05", "NOT_APPLICABLE"),
+    ]
+    assert {r["doc_id"]: (r["CONSISTENT"], r["NOT_APPLICABLE"]) for r in consistency.counts(found).collect()} == {0: (1, 0), 1: (1, 0), 3: (2, 2)}
     impossible = spark.createDataFrame([("3.47", 25), ("3.48", 25), ("3.5", 3), ("3.3", 3)], "mean string, n long")
     assert [r["possible"] for r in consistency.grim(impossible).collect()] == [False, True, False, True]
 

@@ -49,10 +49,10 @@ def cmd_extract(spark, args) -> int:
 
 
 def cmd_consistency(spark, args) -> int:
-    """Findings on papers; 1 if any is inconsistent."""
+    """Findings on papers; 1 if any is an inconsistency."""
     found = consistency.check(extraction.normalize(files.papers(spark, args.papers).where("cause IS NULL").select("doc_id", "text"))).cache()
-    _show(found.orderBy("doc_id", "detail"), args.json, {"doc_id": 24, "kind": 10, "label": 18, "detail": 40})
-    return int(not found.where("label <> 'consistent'").isEmpty())
+    _show(found.orderBy("doc_id", "start", "kind"), args.json, {"doc_id": 24, "kind": 10, "label": 24, "reported": 40})
+    return int(not found.where(F.col("label") == consistency.INCONSISTENT).isEmpty())
 
 
 def cmd_report(spark, args) -> int:

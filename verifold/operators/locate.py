@@ -53,7 +53,7 @@ def locate(bindings: DataFrame, artifacts: DataFrame, stale: DataFrame) -> DataF
     d = bindings.withColumn("_file", F.regexp_replace("artifact", r"#cell-\d+$", ""))
     d = d.join(old, ["run_id", "_file"], "left").join(usable, ["run_id", "artifact"], "left")
     found = _locate("kind", "content", F.struct(*FIELDS))
-    before = F.when(F.col("invalid"), locators.INVALID).when(F.col("_stale"), "STALE_ARTIFACT").when(F.col("content").isNull(), "ARTIFACT_NOT_WRITTEN")
+    before = F.when(F.col("invalid"), locators.INVALID).when(F.col("_stale"), "STALE_ARTIFACT").when(F.col("content").isNull(), locators.NO_BINDING)
     d = d.withColumn("_before", before).withColumn("_found", found)
     cause = F.coalesce("_before", "_found.cause", F.when(strict_decimal(F.col("_found.text")).isNull(), locators.UNPARSEABLE))
     d = d.withColumn("locate_cause", pinned(cause))

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from .joins import compare_members
 
-STAGES = ("MANIFEST_INVALID", "SIGNATURE_INVALID", "MEMBER_MISSING", "MEMBER_UNLISTED", "MEMBER_TAMPERED", "MEMBER_REFUSED", "VERDICT_MISMATCH")
+#: Causes of a bundle by the stage that names them: signature, manifest, members, contents, paper, claims, verdicts.
+STAGES = (
+    ("SIGNATURE_MISSING", "SIGNATURE_INVALID"), ("MANIFEST_INVALID",), ("MEMBER_MISSING", "MEMBER_TAMPERED", "MEMBER_UNLISTED"), ("MEMBER_REFUSED",),
+    ("PAPER_MISSING", "PAPER_MISMATCH"), ("CLAIMS_UNGROUNDED",), ("VERDICTS_MISMATCH",),
+)
 
 
 def bank(store: DataFrame, batch: DataFrame, key: str = "case_id", digest: str = "digest") -> tuple[DataFrame, DataFrame]:
@@ -31,7 +35,7 @@ def verify_members(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 def first_failing_stage(problems: DataFrame, key: str = "bundle_id") -> DataFrame:
     """Of each bundle the problems of its earliest failing stage: later stages aren't looked at."""
-    rank = F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.col("cause"))
+    rank = F.try_element_at(F.create_map(*[F.lit(x) for i, causes in enumerate(STAGES) for cause in causes for x in (cause, i)]), F.col("cause"))
     d = problems.withColumn("_rank", rank)
     least = d.groupBy(key).agg(F.min("_rank").alias("_least"))
     return d.join(least, key).where(F.col("_rank") == F.col("_least")).drop("_rank", "_least")

@@ -119,15 +119,15 @@ def write_once_merge(spark, d):
 @query(
     "bundle_first_stage",
     """
-WITH p AS (SELECT l_orderkey AS bundle_id, CASE l_linenumber % 4 WHEN 0 THEN 'MEMBER_MISSING' WHEN 1 THEN 'MEMBER_TAMPERED' WHEN 2 THEN 'VERDICT_MISMATCH' ELSE 'MEMBER_REFUSED' END AS cause,
-  CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 3 END AS r FROM lineitem WHERE l_quantity < 20)
+WITH p AS (SELECT l_orderkey AS bundle_id, CASE l_linenumber % 4 WHEN 0 THEN 'MEMBER_MISSING' WHEN 1 THEN 'MEMBER_TAMPERED' WHEN 2 THEN 'VERDICTS_MISMATCH' ELSE 'MEMBER_REFUSED' END AS cause,
+  CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 4 ELSE 3 END AS r FROM lineitem WHERE l_quantity < 20)
 SELECT bundle_id, cause FROM (SELECT *, min(r) OVER (PARTITION BY bundle_id) AS m FROM p) WHERE r = m
 """,
 )
 def bundle_first_stage(spark, d):
     """Lines as problems of their order's bundle: those of its earliest failing stage."""
     k = F.col("l_linenumber") % 4
-    cause = F.when(k == 0, "MEMBER_MISSING").when(k == 1, "MEMBER_TAMPERED").when(k == 2, "VERDICT_MISMATCH").otherwise("MEMBER_REFUSED")
+    cause = F.when(k == 0, "MEMBER_MISSING").when(k == 1, "MEMBER_TAMPERED").when(k == 2, "VERDICTS_MISMATCH").otherwise("MEMBER_REFUSED")
     rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").where("l_quantity < 20")
     return store.first_failing_stage(rows.select(F.col("l_orderkey").alias("bundle_id"), cause.alias("cause"))).select("bundle_id", "cause")
 

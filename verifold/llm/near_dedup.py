@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,9 +105,9 @@ def band_keys(names: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def _pieces(batch: pa.RecordBatch, column: str, limit: int = 4_000_000):
-    """Slices of a batch with about so many bytes of text."""
-    sizes = np.diff(text_buffers(batch[column])[1])
+def _pieces(batch: pa.RecordBatch, column: str, limit: int = 1_500_000):
+    """Slices of a batch with about so many bytes of text: what is computed on one takes some dozens of times that."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0))
     at = 0
     ends = np.cumsum(sizes)
     while at < batch.num_rows:
@@ -242,13 +243,14 @@ def _link_blocks(similarity: float):
         group = None
         for batch in batches:
             found = []
-            for row in batch.to_pylist():
-                at = (row["key"], row["bi"], row["bj"])
-                if at != group:
-                    if len(held) > 1:
-                        found += links_in(held, similarity)
-                    held, group = [], at
-                held.append(row)
+            for first in range(0, batch.num_rows, 256):  # rows become Python objects a few at a time
+                for row in batch.slice(first, 256).to_pylist():
+                    at = (row["key"], row["bi"], row["bj"])
+                    if at != group:
+                        if len(held) > 1:
+                            found += links_in(held, similarity)
+                        held, group = [], at
+                    held.append(row)
             yield _edges(found)
         yield _edges(links_in(held, similarity) if len(held) > 1 else [])
 

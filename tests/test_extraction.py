@@ -120,9 +120,14 @@ def test_tables():
 
 
 def test_captioned_tables():
-    text = "Table 3: Results\nSource DF SS\nGenotype 4 12.5\nError rate 8 <0.1\n\nafter 5"
+    text = "Table 3: Results\nSource DF F p\nGenotype 4 12.5<0.001\nError rate 8 – 0.3\n\nafter 5"
     got = {(c["header"], c["text"]) for c in documents.cells_of(text)}
-    assert got == {("Table 3 Genotype DF", "4"), ("Table 3 Genotype SS", "12.5"), ("Table 3 Error rate DF", "8"), ("Table 3 Error rate SS", "<0.1")}
+    assert got == {
+        ("Table 3 Genotype DF", "4"), ("Table 3 Genotype F", "12.5"), ("Table 3 Genotype p", "<0.001"), ("Table 3 Error rate DF", "8"), ("Table 3 Error rate p", "0.3"),
+    }
+    bare = documents.cells_of("Table 1.\nAlpha 1 2\nBeta 3 4 5\n")
+    assert [c["header"] for c in bare] == ["Table 1 Alpha column 1", "Table 1 Alpha column 2", "Table 1 Beta column 1", "Table 1 Beta column 2", "Table 1 Beta column 3"]
+    assert documents.cells_of("Table 1. x\nOne row\nAlpha 1 2\nBeta 3 4\n") == []
 
 
 def test_sentences():

@@ -28,13 +28,13 @@ VALUE = "|".join(
 # Numbers inside a claimed value, and its forms in the order in which they are tried.
 _N = r"([+-]?(?:(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?)"
 _PERCENT = r"(?:\s*%)?"
-_MARK = r"(?:[+-]?\d+(?:\.\d+)?\s*%\s*)?(?i:CR?I)\s*"
+_LEVEL = rf"(?:{_N.replace('(', '(?:', 1)}\s*%\s*)?"
 FORMS = (
-    ("Interval", rf"^(?:{_MARK})?[\[(]\s*{_N}\s*,\s*{_N}\s*[\])]{_PERCENT}\z"),
-    ("Interval", rf"^{_MARK}:?\s*{_N}{_PERCENT}\s*[-–—,]\s*{_N}{_PERCENT}\z"),
-    ("PlusMinus", rf"^{_N}{_PERCENT}\s*(?:±|\+/-|\+-)\s*{_N}{_PERCENT}\z"),
-    ("Bound", rf"^(?:[^\s<>≤≥=]+\s*)?(<=|>=|≤|≥|<|>)\s*{_N}{_PERCENT}\z"),
-    ("Range", rf"^{_N}{_PERCENT}\s*[–—]\s*{_N}{_PERCENT}\z"),
+    ("Interval", rf"(?i)^{_LEVEL}(?:CI\s*)?[\[(]\s*{_N}\s*,\s*{_N}\s*[\])]\z"),
+    ("Interval", rf"(?i)^{_LEVEL}CR?I\s*:?\s*{_N}\s*%?\s*[-–—,]\s*{_N}\s*%?\z"),
+    ("PlusMinus", rf"^{_N}\s*(?:±|\+/-|\+-)\s*{_N}{_PERCENT}\z"),
+    ("Bound", rf"^(?:[A-Za-z][A-Za-z0-9_.-]*\s*)?(<=|>=|≤|≥|<|>)\s*{_N}{_PERCENT}\z"),
+    ("Range", rf"^{_N}\s*[–—]\s*{_N}{_PERCENT}\z"),
     ("Approximate", rf"^[~∼≈≃]\s*{_N}{_PERCENT}\z"),
     ("Point", rf"^{_N}{_PERCENT}\z"),
 )

@@ -40,7 +40,8 @@ def _regions(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.ArrayType(_CELL))
 def _cells(texts: pa.Array) -> pa.Array:
-    return pa.array([documents.cells_of(x.as_py() or "") for x in texts], _arrow(_CELL))
+    names = _CELL.fieldNames()
+    return pa.array([[{k: c[k] for k in names} for c in documents.cells_of(x.as_py() or "")] for x in texts], _arrow(_CELL))
 
 
 @F.arrow_udf(T.StringType())

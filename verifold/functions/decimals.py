@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,12 +17,14 @@ NUMBER = f"struct<u:{WHOLE},e:int>"
 def strict_decimal(text: Column) -> Column:
     """struct(u, e) of an ASCII decimal text, so that its value is u * 10**e; null if it isn't one, has over 40 digits
     or an adjusted exponent beyond 40, or doesn't fit 38 digits."""
-    mantissa = F.regexp_replace(text, "[eE].*", "")
-    point = F.regexp_extract(text, r"[eE]([+-]?[0-9]+)\z", 1)
-    fraction = F.regexp_extract(mantissa, r"\.([0-9]*)\z", 1)
-    digits = F.regexp_replace(mantissa, "[^0-9]", "")
-    exponent = F.coalesce(F.when(F.length(point) <= 6, point.try_cast("int")), F.when(point == "", F.lit(0))) - F.length(fraction)
-    significant = F.length(F.regexp_replace(digits, "^0+", ""))
+    low = F.lower(text)
+    mantissa = F.substring_index(low, "e", 1)
+    point = F.substring_index(low, "e", -1)
+    power = F.when(~F.contains(low, F.lit("e")), 0).when(F.length(point) <= 6, point.try_cast("int"))
+    places = F.when(F.contains(mantissa, F.lit(".")), F.length(F.substring_index(mantissa, ".", -1))).otherwise(0)
+    digits = F.translate(mantissa, "+-.", "")
+    exponent = power - places
+    significant = F.length(F.ltrim(digits, F.lit("0")))
     adjusted = exponent + F.greatest(significant, F.lit(1)) - 1
     unscaled = F.concat(F.when(F.startswith(mantissa, F.lit("-")), "-").otherwise(""), digits).try_cast(WHOLE)
     good = F.coalesce(text.rlike(STRICT), F.lit(False)) & (F.length(digits) <= MAX_DIGITS) & (F.abs(adjusted) <= MAX_DIGITS)
@@ -39,7 +43,7 @@ def from_decimal(value: Column, scale: int) -> Column:
 
 def power10(n: Column) -> Column:
     """10**n as a whole decimal; null outside 0 to 37."""
-    return F.when((n >= 0) & (n <= 37), F.rpad(F.lit("1"), n + 1, F.lit("0")).cast(WHOLE))
+    return F.when((n >= 0) & (n <= 37), F.element_at(F.array(*[F.lit(Decimal(10) ** i).cast(WHOLE) for i in range(38)]), n + 1))
 
 
 def shifted(number: Column, exponent: Column) -> Column:

@@ -14,7 +14,9 @@ GAP = r"[ \t]*"
 #: Stands for a blockquote mark during the scan: the same length, no comparison, and none may follow it directly.
 QUOTE = ""
 CI = rf"(?:{OPERAND}{GAP}%{GAP})?(?<![A-Za-z])[Cc][Rr]?[Ii]"
-VALUE = "|".join(
+#: What a value can begin with: most places of a text are passed over by this alone.
+BEGIN = r"(?=[\d.+\-<>≤≥~∼≈≃Cc])"
+VALUE = BEGIN + "(?:" + "|".join(
     (
         rf"{CI}{GAP}[\[(]{GAP}{OPERAND}{GAP},{GAP}{OPERAND}{GAP}[\])]",
         rf"{CI}{GAP}:?{GAP}(?:{OPERAND}{GAP}%{GAP}[-–—,]{GAP}{OPERAND}{GAP}%|{OPERAND}{GAP}[-–—,]{GAP}{OPERAND})",
@@ -24,7 +26,7 @@ VALUE = "|".join(
         rf"[~∼≈≃]{GAP}{OPERAND}",
         OPERAND,
     )
-)
+) + ")"
 # Numbers inside a claimed value, and its forms in the order in which they are tried.
 _N = r"([+-]?(?:(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?)"
 _PERCENT = r"(?:\s*%)?"

@@ -101,7 +101,8 @@ def scan(papers: DataFrame) -> DataFrame:
     before and after are the 32 and 16 characters around. A `>` that opens a line is a quote mark and compares nothing.
     """
     quoted = F.regexp_replace("text", r"(?m)^([ \t]*)>", f"$1{grammar.QUOTE}")
-    d = papers.select("doc_id", "text", F.explode(grammar.matches(quoted, f"(?U){grammar.VALUE}")).alias("m"))
+    d = papers.where(F.col("text").rlike(r"(?U)\d"))  # no value is without a digit
+    d = d.select("doc_id", "text", F.explode(grammar.matches(quoted, f"(?U){grammar.VALUE}")).alias("m"))
     start, end = F.col("m.start"), F.col("m.start") + F.length("m.value")
     low = F.greatest(start - 32, F.lit(0))
     return d.select("doc_id", start.alias("start"), end.alias("end"), F.col("m.value").alias("value"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from verifold.functions import locators as L
 from verifold.functions.distribution import p_value
 from verifold.operators import capture, claims, consistency, joins, locate, store
-from verifold.sources import archive_members, canonical_json, papers, render_table, tree_hash, write_cases
+from verifold.sources import archive_members, canonical_json, documents_of, papers, render_table, tree_hash, write_cases, write_objects
 
 
 @pytest.mark.parametrize(
@@ -177,6 +177,15 @@ def test_sinks(spark):
     assert render_table(d, {"b": 8, "a": 3}).first()["line"] == "é␤long …  -"
 
 
+def test_documents_and_objects(spark, tmp_path):
+    d = spark.createDataFrame([(1, "b", 2), (1, "a", None), (2, "c", 3)], "run int, claim_id string, n int")
+    got = {r["run"]: r["document"] for r in documents_of(d, ["run"], ["claim_id"], "verdicts").collect()}
+    assert got == {1: '{"verdicts":[{"claim_id":"a","n":null},{"claim_id":"b","n":2}]}\n', 2: '{"verdicts":[{"claim_id":"c","n":3}]}\n'}
+    rows = spark.createDataFrame([("ab1", bytearray(b"x")), ("ab1", bytearray(b"x")), ("cd2", bytearray(b"y"))], "sha256 string, content binary")
+    write_objects(rows, str(tmp_path / "o"))
+    assert spark.read.parquet(str(tmp_path / "o")).where("shelf = 'ab'").count() == 1
+
+
 def write_record(path, value, located):
     (path / "objects").mkdir(parents=True)
     data = json.dumps({"metrics": {"acc": 1}}).replace("1", located).encode()

@@ -34,12 +34,28 @@ def render_table(rows: DataFrame, widths: dict[str, int]) -> DataFrame:
 
 
 def write_cases(batch: DataFrame, path: str, key: str = "case_id", digest: str = "digest") -> DataFrame:
-    """Append the cases of a batch that the store at path lacks; gives the conflicts. A stored case is never rewritten."""
+    """Append the cases of a batch that the store at path lacks; gives the conflicts. A stored case is never rewritten.
+
+    The conflicts are read against the files that were there before: cases of this batch never conflict with themselves.
+    """
     spark = batch.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
     stored = spark.read.parquet(path) if exists else batch.limit(0)
     new, conflicts = bank(stored, batch, key, digest)
-    conflicts = spark.createDataFrame(conflicts.toArrow()) if exists else conflicts
     new.write.mode("append").parquet(path)
     return conflicts
+
+
+def documents_of(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """keys and document: canonical JSON {name: [rows in order]} per key, the form that records and reports are stored in."""
+    fields = [c for c in rows.columns if c not in keys]
+    ranked = F.struct(F.struct(*order).alias("o"), F.struct(*fields).alias("r"))
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(ranked)).alias("_rows"))
+    return listed.select(*keys, canonical_json(F.struct(F.transform("_rows", lambda x: x["r"]).alias(name))).alias("document"))
+
+
+def write_objects(artifacts: DataFrame, path: str) -> None:
+    """Contents by digest, each once, under the first two digits of it."""
+    once = artifacts.select("sha256", "content").dropDuplicates(["sha256"]).withColumn("shelf", F.substring("sha256", 1, 2))
+    once.write.mode("overwrite").partitionBy("shelf").parquet(path)

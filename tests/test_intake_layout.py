@@ -101,3 +101,34 @@ def test_headings_and_tables(spark):
 def test_split_capitals(spark):
     d = spark.createDataFrame([(1, i, w) for i, w in enumerate("AN OVA shows ANOVA and NO WAY".split())], "doc int, pos int, word string")
     assert [r["word"] for r in layout.heal_split_capitals(d).orderBy("pos").collect()] == "ANOVA shows ANOVA and NO WAY".split()
+
+
+def test_pack_is_the_same_each_time(tmp_path):
+    import os
+    import tarfile
+
+    import pytest
+
+    src = tmp_path / "src"
+    (src / "d").mkdir(parents=True)
+    (src / "d" / "b").write_text("2")
+    (src / "a").write_text("1")
+    control.pack(str(src), str(tmp_path / "one.tar.gz"))
+    os.utime(src / "a", (1, 1))
+    control.pack(str(src), str(tmp_path / "two.tar.gz"))
+    assert (tmp_path / "one.tar.gz").read_bytes() == (tmp_path / "two.tar.gz").read_bytes()
+    control.unpack(str(tmp_path / "one.tar.gz"), str(tmp_path / "out"))
+    assert (tmp_path / "out" / "d" / "b").read_text() == "2"
+    with tarfile.open(tmp_path / "bad.tar", "w") as t:
+        t.addfile(tarfile.TarInfo("../x"))
+    with pytest.raises(ValueError):
+        control.unpack(str(tmp_path / "bad.tar"), str(tmp_path / "out2"))
+
+
+def test_proposer(tmp_path):
+    import pytest
+
+    echo = [sys.executable, "-c", "import json, sys; print(json.dumps({'bindings': [{'claim_id': c} for c in json.load(sys.stdin)['claims']]}))"]
+    assert control.propose(echo, {"claims": ["a"]}) == [{"claim_id": "a"}]
+    with pytest.raises(RuntimeError):
+        control.propose([sys.executable, "-c", "raise SystemExit(1)"], {})

@@ -308,8 +308,9 @@ def near_duplicates(
     central = cut(member.groupBy("node").agg(F.sum("members").alias("central")))
     member = cut(member.join(central, "node"))  # key, node, n, members, central
 
-    reps = nodes.select("node", "rep", "n", "bands").join(central.select("node"), "node")
-    chosen = source.join(reps, "node").where("doc_id = rep").select("node", "n", "bands", "text")
+    # one text per node, that of its least id: the id is part of the key, so the copies of a text are spread
+    reps = nodes.select("node", F.col("rep").alias("doc_id"), "n", "bands").join(central.select("node"), "node")
+    chosen = source.join(reps, ["node", "doc_id"]).select("node", "n", "bands", "text")
     made = chosen.mapInArrow(_features(width), _FEATURES)
     features = cut(made.dropDuplicates(["node"]))  # repeated rows give a node twice
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
+from itertools import takewhile
 
 HEADING = re.compile(r"[ \t]{0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*")
 # Titles that name a section, and abbreviations whose dot ends no sentence.
@@ -163,27 +164,25 @@ def cells_of(text: str) -> list[dict]:
     return out
 
 
-def _ends_sentence(text: str, dot: int) -> bool:
-    line = text.rfind("\n", 0, dot) + 1
-    if re.fullmatch(r"[ \t]*\d+", text[line:dot]):
+def _ends_sentence(line: str) -> bool:
+    """Whether punctuation after this part of a line ends a sentence: not after a list number, an initial or an abbreviation."""
+    if line.lstrip(" \t") and re.fullmatch(r"\d+", line.lstrip(" \t")):
         return False
-    head = dot
-    while head > line and (text[head - 1].isalpha() or text[head - 1] == "."):
-        head -= 1
-    word = text[head:dot]
-    return not (len(word) == 1 and word.isalpha()) and word.lower() not in ABBREVIATIONS
+    last = "".join(takewhile(lambda ch: ch.isalpha() or ch == ".", reversed(line)))[::-1]
+    return last.lower() not in ABBREVIATIONS and not (len(last) == 1 and last.isalpha())
 
 
 def sentences(text: str, start: int, end: int) -> list[tuple[int, str]]:
-    out, at = [], start
-    for m in re.compile(r"[.!?]+(?=\s|$)").finditer(text, start, end):
-        if m.start() >= at and _ends_sentence(text, m.start()):
-            out.append((at, text[at : m.end()].strip()))
-            at = m.end()
-            while at < end and text[at].isspace():
-                at += 1
-    if at < end or not out:
-        out.append((at, text[at:end].strip()))
+    """(place, sentence) over a block of prose: cut where punctuation before white space ends one; a block has one at least."""
+    stops = re.compile(r"[.!?]+(?=\s|$)").finditer(text, start, end)
+    cuts = [m.end() for m in stops if _ends_sentence(text[text.rfind("\n", 0, m.start()) + 1 : m.start()])]
+    out = []
+    for a, b in zip([start, *cuts], [*cuts, end], strict=True):
+        said = text[a:b].strip()
+        if a == start:
+            out.append((a, said))
+        elif said:
+            out.append((a + len(text[a:b]) - len(text[a:b].lstrip()), said))
     return out
 
 

@@ -366,6 +366,13 @@ def test_near_duplicates(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == len({c for _, c in brute_classes([(r["doc_id"], r["text"]) for r in docs.collect()])})
 
 
+def test_one_row_stays_of_repeated_ids(spark):
+    text = " ".join(f"a{i}" for i in range(30))
+    rows = [(2, text, "x"), (5, text + " b", "x"), (5, "some other text of its own", "x"), (5, "some other text of its own", "y"), (None, "nobody has this id", "x"), (None, "nobody has this id", "x")]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, node string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("2", text), ("5", rows[2][1]), ("None", rows[4][1])]
+
+
 def test_blocks_find_every_link(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     rng = np.random.default_rng(11)

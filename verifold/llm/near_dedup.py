@@ -279,7 +279,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(
+def classes(
     docs: DataFrame,
     width: int = WIDTH,
     similarity: float = SIMILARITY,
@@ -288,12 +288,12 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) for every row.
+    """doc_id, node (the digest of the text), class_id (the least doc_id of the class) for every row.
 
     Rows of equal text are in one class, and so are rows whose multisets of width-word shingles have a weighted Jaccard
     similarity of at least similarity, and rows that such links join. A null text counts as empty; texts without words
     are only like each other if equal; texts of fewer than width words are one shingle. A null id counts as the least
-    long in class_id. Repeated rows stay repeated; other columns don't matter; an empty table gives an empty result.
+    long. Repeated rows stay repeated; other columns don't matter; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
@@ -335,18 +335,25 @@ def near_duplicates(
     if not more.isEmpty():
         labels = components(cut(edges.unionByName(more)))
 
-    classes = cut(nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    least = cut(classes.groupBy("label").agg(F.min("rep").alias("class_id")))
-    named = classes.join(least, "label").select("node", "class_id")
-    return signed.select("doc_id", "node").join(named, "node").select(F.expr(f"nullif(doc_id, {-(2**63) + 1} - 1)").alias("doc_id"), "class_id")
+    members = cut(nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    least = cut(members.groupBy("label").agg(F.min("rep").alias("class_id")))
+    named = members.join(least, "label").select("node", "class_id")
+    return signed.select("doc_id", "node").join(named, "node")
+
+
+def near_duplicates(docs: DataFrame, **params) -> DataFrame:
+    """doc_id, class_id of every row of docs: see classes() for what joins a class and for the parameters."""
+    return classes(docs, **params).select(F.expr(f"nullif(doc_id, {-(2**63) + 1} - 1)").alias("doc_id"), "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """One row of docs per class: the one of the least id (of repeated ids, the least text)."""
-    classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **params)
-    kept = classes.where(F.coalesce(F.col("doc_id"), F.lit(-(2**63))) == F.col("class_id")).select("doc_id").distinct()
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    """One row of docs per class: of its least id; if rows of that id differ in text, of the text of least digest; of
+    rows that repeat both, any one."""
+    found = classes(docs, id_col=id_col, text_col=text_col, **params).where("doc_id = class_id")
+    kept = found.groupBy("class_id").agg(F.min("node").alias("_node")).select(F.col("class_id").alias("_id"), "_node")
+    node = F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")))
+    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))) == F.col("_id")) & (node == F.col("_node"))
+    return docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:

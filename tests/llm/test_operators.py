@@ -416,3 +416,21 @@ def test_html(spark):
     assert got[:4] == [(1, want), (1, want), (2, ""), (3, "")]
     assert dict(got)[5] == "x"
     assert extract_text(d.limit(0)).count() == 0
+
+
+def test_html_of_other_languages():
+    russian = ["Вчера вечером в городе прошёл большой праздник, на который собрались тысячи жителей и гостей области.", "Организаторы обещают повторить его следующим летом, если позволят погода и средства городского бюджета."]
+    polish = ["Wczoraj wieczorem odbyło się wielkie święto, na które przybyły tysiące mieszkańców oraz gości z całego województwa."] * 2
+    chinese = ["昨天晚上城市里举行了盛大的节日活动，成千上万的居民和游客聚集在广场上观看表演。" * 3] * 2
+    tags = "<p>" + "".join(f"<a href=/t{i}>праздник город</a> " for i in range(9)) + "</p>"
+    for body in (russian, polish, chinese):
+        paragraphs = f"<h1>Заголовок</h1><p>{body[0]}</p><p>{body[1]}</p>"
+        want = " ".join(["Заголовок", *body])
+        assert main_text(f"<body><div>{paragraphs}</div>{tags}</body>") == want
+        assert main_text(f"<body><article>{paragraphs}{tags}</article></body>") == want
+    short = "<p>Коротко.</p><p>Ещё короче.</p>"
+    assert main_text(f"<article>{short}{tags}</article>") == "Коротко. Ещё короче."
+    english = "<p>The quick fox is in the wood and it was seen by all of us at the edge of the old town square.</p>"
+    junk = "<p>" + "casino poker bonus jackpot " * 5 + "</p>"
+    assert "casino" not in main_text(english + junk + english * 3)
+    assert russian[0] in main_text(english * 2 + f"<p>{russian[0]}</p>")

@@ -48,6 +48,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME_PART = re.compile(r"[A-Za-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
 
 
 class Block:
@@ -157,39 +158,66 @@ def split_blocks(html: str) -> list[Block]:
     return blocks
 
 
-def stop_density(text: str) -> float:
+def _stop_words(text: str) -> tuple[int, int]:
+    """How many words are stop words, and how many words there are."""
     words = [w for x in text.split() if (w := _WORD.search(x))]
-    return sum(w[0].lower() in STOP_WORDS for w in words) / len(words) if words else 0.0
+    return sum(w[0].lower() in STOP_WORDS for w in words), len(words)
 
 
-def classify(blocks: list[Block], min_length: int = 70, good_density: float = 0.2, bad_density: float = 0.04, max_links: float = 0.3) -> list[bool]:
+def _letters(text: str) -> int:
+    return len("".join(text.split()))
+
+
+def classify(
+    blocks: list[Block], min_length: int = 70, good_density: float = 0.2, bad_density: float = 0.04, max_links: float = 0.3, covered_density: float = 0.1
+) -> list[bool]:
     """Two passes. The first decides: bad if links hold over max_links of the letters, good if the block has min_length
-    characters and good_density of stop words, bad if it has that length, under bad_density of them and is in no
-    article or main element; the rest, short or in between, is open. The second gives open blocks the label of the
-    nearest decided neighbour, the good one if both are as near. With no neighbour decided, an article's blocks are good.
+    characters and good_density of stop words. Few stop words say nothing on a page whose language the list doesn't
+    cover: it does if some block is good by them and they are covered_density of the words outside of links. If it
+    does, blocks of min_length characters, mostly Latin letters, under bad_density and in no article or main element
+    are bad. If it doesn't, all blocks of min_length characters are good. The rest, short or in between, is open.
+
+    The second gives open blocks the label of the nearest decided neighbour, the good one if both are as near. Blocks
+    that are bad by their links label neither open blocks of min_length characters nor those of an article where
+    nothing else is decided; such blocks are good.
     """
+    linked = [b.linked > max_links * _letters(b.text) or not b.zone and "©" in b.text for b in blocks]
+    counts = [_stop_words(b.text) for b in blocks]
+    density = [n / m if m else 0.0 for n, m in counts]
+    long = [len(b.text) >= min_length for b in blocks]
+    free = [c for c, x in zip(counts, linked, strict=True) if not x]
+    prose = any(n and not x and d >= good_density for n, x, d in zip(long, linked, density, strict=True))
+    covered = prose and sum(n for n, _ in free) >= covered_density * sum(m for _, m in free)
     verdicts: list[bool | None] = []
-    for b in blocks:
-        letters = len("".join(b.text.split()))
-        if b.linked > max_links * letters or not b.zone and "©" in b.text:
+    for i, b in enumerate(blocks):
+        if linked[i]:
             verdicts.append(False)
-        elif len(b.text) >= min_length and (density := stop_density(b.text)) >= good_density:
+        elif long[i] and (density[i] >= good_density or not covered):
             verdicts.append(True)
-        elif len(b.text) >= min_length and density < bad_density and not b.zone:
+        elif long[i] and density[i] < bad_density and not b.zone and 2 * len(_LATIN.findall(b.text)) >= _letters(b.text):
             verdicts.append(False)
         else:
             verdicts.append(None)
+    said = [i for i, v in enumerate(verdicts) if v is not None and not linked[i]]
+    for i, v in enumerate(verdicts):
+        if v is None and long[i]:
+            verdicts[i] = _nearest(i, said, verdicts, True)
+    said = [i for i, v in enumerate(verdicts) if v is not None and not linked[i]]
     decided = [i for i, v in enumerate(verdicts) if v is not None]
     out = []
     for i, v in enumerate(verdicts):
         if v is None:
-            k = bisect_left(decided, i)
-            near = [(abs(j - i), not verdicts[j]) for j in decided[max(0, k - 1) : k + 1]]
-            v = not min(near)[1] if near else blocks[i].zone
+            v = _nearest(i, decided if said or not blocks[i].zone else [], verdicts, blocks[i].zone)
         out.append(v)
     return out
 
 
+def _nearest(i: int, decided: list[int], verdicts: list[bool | None], otherwise: bool) -> bool:
+    k = bisect_left(decided, i)
+    near = [(abs(j - i), not verdicts[j]) for j in decided[max(0, k - 1) : k + 1]]
+    return not min(near)[1] if near else otherwise
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page: good blocks in page order, joined by one space. If there are article or main
     elements with text, only their blocks are considered."""

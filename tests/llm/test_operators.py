@@ -434,3 +434,23 @@ def test_html_of_other_languages():
     junk = "<p>" + "casino poker bonus jackpot " * 5 + "</p>"
     assert "casino" not in main_text(english + junk + english * 3)
     assert russian[0] in main_text(english * 2 + f"<p>{russian[0]}</p>")
+
+
+def test_html_names_and_zones():
+    a = "The quick fox is in the wood and it was seen by all of us at the edge of the old town square."
+    b = "It is not the first time that this has been said of the animals that live in the area around here."
+    body = f"<h1>A title</h1><p>{a}</p><p>{b}</p>"
+    want = f"A title {a} {b}"
+    for name in ("content has-sidebar", "with-header", "no-comments", "layout-search", "elementor-widget-text"):
+        assert main_text(f'<div class="{name}">{body}</div>') == want
+    for name in ("article-header", "post-header", "entry-header has-banner"):
+        assert main_text(f'<article><div class="{name}"><h1>A title</h1><p>By me</p></div><p>{a}</p><p>{b}</p></article>') == f"A title By me {a} {b}"
+    for name in ("sidebar", "related-posts", "site-footer", "main-nav", "comment-list", "cookie-notice"):
+        assert main_text(f'<div>{body}<div class="{name}"><p>{a} Not this.</p></div></div>') == want
+    comments = f"<article class=comment><p>I am of the opinion that it is not true. {a}</p></article>" * 3
+    assert main_text(f"<div>{body}</div>{comments}") == want
+    assert main_text(f"<article>{body}</article>{comments}") == want
+    cards = "<article><p>Short card</p></article>" * 3
+    assert main_text(f"<div>{body}</div><div>{cards}</div>").startswith(want)
+    assert main_text(f"<article>{body}</article><div><p>{a} Outside.</p></div>") == want
+    assert main_text(f'<div class="search">Find<main>{body}</main>it</div>') == want

@@ -34,6 +34,12 @@ OUT_NAMES = frozenset(
     sidebar signup social sponsor sponsored subscribe toolbar widget widgets alert complementary contentinfo
     """.split()
 )
+#: First parts of names that say how a page is laid out or filed ("has-sidebar", "no-comments"), not what an element is.
+ABOUT = frozenset("has with no not without is hide show layout format type template category tag status js".split())
+#: With one of these, a header is that of the text.
+OF_TEXT = frozenset("article post entry page content story title section".split())
+#: Names of readers' comments, of which there may be more than main text.
+OF_READERS = frozenset("comment comments disqus replies reply".split())
 BLOCK_TAGS = frozenset(
     """
     address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header
@@ -43,6 +49,9 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "iframe")
 ZONE_TAGS = ("article", "main")
+INLINE_TAGS = frozenset("a abbr b bdi cite code em font i label mark small span strong sub sup time u".split())
+#: Characters of a long block, and how many different ones one outside of articles has, to be held against them: less is a filler.
+MIN_LENGTH, MIN_SIGNS = 70, 10
 #: A tag ends at the next tag's start at the latest, so what never closes costs no more than its own length.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -54,32 +63,57 @@ _LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
 class Block:
     """Text between two breaks: its text, the characters of it in links, and whether an article or main element holds it."""
 
-    __slots__ = ("text", "linked", "zone", "heading")
+    __slots__ = ("text", "linked", "zone", "heading", "named")
 
-    def __init__(self, text: str, linked: int, zone: bool, heading: bool):
-        self.text, self.linked, self.zone, self.heading = text, linked, zone, heading
+    def __init__(self, text: str, linked: int, zone: bool, heading: bool, named: tuple = ()):
+        self.text, self.linked, self.zone, self.heading, self.named = text, linked, zone, heading, named
 
 
-def _out(tag: str, attrs: str, zone: bool) -> bool:
-    if tag in OUT_TAGS or tag == "header" and not zone:
-        return True
-    if tag in ("html", "body", *ZONE_TAGS) or not attrs or "=" not in attrs:
+class _Named:
+    """An element whose name is only evidence: the letters in it, and whether it holds a main element or a first heading."""
+
+    __slots__ = ("letters", "holds")
+
+    def __init__(self) -> None:
+        self.letters, self.holds = 0, False
+
+
+def _hidden(tag: str, attrs: str) -> bool:
+    if tag in ("html", "body", *ZONE_TAGS) or "=" not in attrs and "hidden" not in attrs:
         return False
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", attrs):
-        return True
+    return re.search(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", attrs) is not None
+
+
+def _name_says(tag: str, attrs: str) -> str | None:
+    """cut if a whole token of class, id or role is a name that never is main text, or names readers' comments; maybe
+    if a part of one is; None if none is, or the token tells of a layout or of the text's own header."""
+    if tag in ("html", "body", "main") or "=" not in attrs:
+        return None
+    says = None
     for m in _NAMED.finditer(attrs):
-        parts = _NAME_PART.findall(unescape(m[1] or m[2] or m[3] or ""))
-        if any(p.lower() in OUT_NAMES for p in parts):
-            return True
-    return False
+        for token in unescape(m[1] or m[2] or m[3] or "").split():
+            parts = [x.lower() for x in _NAME_PART.findall(token)]
+            hits = {x for x in parts if x in OUT_NAMES}
+            if not hits or parts[0] in ABOUT or hits <= {"header", "banner"} and not OF_TEXT.isdisjoint(parts):
+                continue
+            if all(x in OUT_NAMES for x in parts) or hits & OF_READERS:
+                return "cut"
+            if tag != "article":
+                says = "cut" if tag in INLINE_TAGS else "maybe"
+    return says
 
 
 def split_blocks(html: str) -> list[Block]:
-    """The blocks of a page outside of elements that never hold main text; character references are decoded."""
+    """The blocks of a page outside of elements that never hold main text; character references are decoded.
+
+    Elements whose whole name is one of OUT_NAMES are left out, but not a main element in them; those with such a name
+    among others, if they hold no main element or first heading and at most half of the text.
+    """
     blocks: list[Block] = []
     said: list[str] = []
-    linked = out = zone = links = 0
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each turned output off
+    linked = out = cut = zone = links = 0
+    stack: list[tuple[str, bool, int, _Named | None]] = []  # open elements, what each added to out and cut, and its own if named
+    named: list[_Named] = []
     opened: dict[str, int] = {}  # how many of each are open
     heading = False
 
@@ -88,13 +122,18 @@ def split_blocks(html: str) -> list[Block]:
         if said:
             text = " ".join("".join(said).split())
             if text:
-                blocks.append(Block(text, linked, zone > 0, heading))
+                blocks.append(Block(text, linked, zone > 0, heading, tuple(named)))
             said, linked = [], 0
 
     def close(k: int) -> None:
-        nonlocal out, zone, links
-        for tag, was_out in stack[k:]:
+        nonlocal out, cut, zone, links
+        if any(x[3] for x in stack[k:]):
+            flush()
+        for tag, was_out, was_cut, own in reversed(stack[k:]):
             out -= was_out
+            cut -= was_cut
+            if own:
+                named.pop()
             zone -= tag in ZONE_TAGS
             links -= tag == "a"
             opened[tag] -= 1
@@ -102,7 +141,7 @@ def split_blocks(html: str) -> list[Block]:
 
     def put(text: str) -> None:
         nonlocal linked
-        if text and not out:
+        if text and not out and not cut:
             text = unescape(text)
             said.append(text)
             if links:
@@ -149,13 +188,29 @@ def split_blocks(html: str) -> list[Block]:
             continue
         if tag == "a":
             links += 1
-        is_out = _out(tag, m[3], zone > 0)
+        is_out = tag in OUT_TAGS or tag == "header" and not zone or _hidden(tag, m[3])
+        says = _name_says(tag, m[3])
+        is_cut = -cut if tag == "main" else int(says == "cut")
+        own = _Named() if says == "maybe" and not out and not cut else None
+        if own:
+            flush()
+            named.append(own)
+        if tag in ("main", "h1"):
+            for x in named:
+                x.holds = True
         out += is_out
+        cut += is_cut
         zone += tag in ZONE_TAGS
-        stack.append((tag, is_out))
+        stack.append((tag, is_out, is_cut, own))
         opened[tag] = opened.get(tag, 0) + 1
     flush()
-    return blocks
+    total = 0
+    for b in blocks:
+        n = _letters(b.text)
+        total += n
+        for x in b.named:
+            x.letters += n
+    return [b for b in blocks if all(x.holds or 2 * x.letters > total for x in b.named)]
 
 
 def _stop_words(text: str) -> tuple[int, int]:
@@ -169,7 +224,7 @@ def _letters(text: str) -> int:
 
 
 def classify(
-    blocks: list[Block], min_length: int = 70, good_density: float = 0.2, bad_density: float = 0.04, max_links: float = 0.3, covered_density: float = 0.1
+    blocks: list[Block], min_length: int = MIN_LENGTH, good_density: float = 0.2, bad_density: float = 0.04, max_links: float = 0.3, covered_density: float = 0.1
 ) -> list[bool]:
     """Two passes. The first decides: bad if links hold over max_links of the letters, good if the block has min_length
     characters and good_density of stop words. Few stop words say nothing on a page whose language the list doesn't
@@ -220,11 +275,16 @@ def _nearest(i: int, decided: list[int], verdicts: list[bool | None], otherwise:
 
 def main_text(html: str | None) -> str:
     """The main text of one page: good blocks in page order, joined by one space. If there are article or main
-    elements with text, only their blocks are considered."""
+    elements with text, only their blocks are considered, unless more good text is in long blocks outside of them."""
     blocks = split_blocks(html or "")
+    good = classify(blocks)
     if any(b.zone for b in blocks):
-        blocks = [b for b in blocks if b.zone]
-    return " ".join(b.text for b, good in zip(blocks, classify(blocks), strict=True) if good)
+        inside = sum(_letters(b.text) for b, x in zip(blocks, good, strict=True) if x and b.zone)
+        outside = sum(_letters(b.text) for b, x in zip(blocks, good, strict=True) if x and not b.zone and len(b.text) >= MIN_LENGTH and len(set(b.text)) >= MIN_SIGNS)
+        if inside >= outside:
+            blocks = [b for b in blocks if b.zone]
+            good = classify(blocks)
+    return " ".join(b.text for b, x in zip(blocks, good, strict=True) if x)
 
 
 @F.arrow_udf(T.StringType())

@@ -454,3 +454,27 @@ def test_html_names_and_zones():
     assert main_text(f"<div>{body}</div><div>{cards}</div>").startswith(want)
     assert main_text(f"<article>{body}</article><div><p>{a} Outside.</p></div>") == want
     assert main_text(f'<div class="search">Find<main>{body}</main>it</div>') == want
+
+
+def test_secrets_of_broken_and_upper_case_keys():
+    import base64
+    import textwrap
+
+    inner = bytes([2, 1, 0]) + bytes([4, 129, 180]) + bytes(range(180))
+    der = bytes([0x30, 0x81, len(inner)]) + inner
+    ssh = b"\0\0\0\x07ssh-rsa" + b"\0\0\0\xa0" + bytes(range(160))
+    find = lambda text: [(k, text[a:b]) for k, a, b in secrets.find_secrets(text) if k not in secrets.BASE_KINDS]
+    for lead in ("{\"private_key\": \"", "key = b'"):
+        for end in ("\\n", "\\r\\n", "\\\\n", "\\n\"\n  \"", "\r\n"):
+            pem = end.join(["-----BEGIN PRIVATE KEY-----", *textwrap.wrap(base64.b64encode(der).decode(), 64), "-----END PRIVATE KEY-----"])
+            assert find(f"{lead}{pem}{end}\"") == [("pem", pem)]
+    for data, kind in ((der, "der"), (ssh, "sshkey")):
+        for width in (64, 76):
+            for end in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+                key = end.join(textwrap.wrap(base64.b64encode(data).decode(), width))
+                assert find(f"é the key{end}{key}{end}thanks and so on") == [(kind, key)], (width, end)
+        alone = base64.b64encode(data).decode()
+        assert find(f'"\\n{alone}\\n"') == [(kind, alone)] and find(f"k {alone} e\n") == [(kind, alone)]
+        assert find(f"0x{data.hex().upper()};") == [(kind, data.hex().upper())]
+    assert [k for k, _, _ in secrets.find_secrets(der.hex().upper())] == ["der"]
+    assert find("\n".join(["M" + "a" * 63] * 500)) == []

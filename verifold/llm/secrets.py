@@ -23,8 +23,15 @@ _ASSIGN_CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this finds the runs of [0-9a-f]+ that are long enough
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----\s*([A-Za-z0-9+/=\s]+?)-----END \1-----")
+#: A body's lines may be broken by white space, by escaped line ends and by the quotes of string literals; escapes are possessive, read in one way.
+_PEM = re.compile(r"""-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s"',]|\\++[nrt]?+)+?)-----END \1-----""")
+_PEM_BREAK = re.compile(r"""\\+[nrt]?|[\s"',]+""")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Runs that a key may begin with (a SEQUENCE, an algorithm's length, the container's name), at a run's start or after an escaped line end.
+_WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr]))(?=M[A-P]|AAAA[B-P]|b3BlbnNzaC1r)[A-Za-z0-9+/_-]{16,}={0,2}")
+_NEXT_LINE = re.compile(r"[\x20\t]*+(?:\r?\n|(?:\\++[nr])+)[\x20\t]*+([A-Za-z0-9+/_-]++={0,2})")
+_ANY_HEX = re.compile(r"[0-9A-Fa-f]{24,}")
+_ANY_HEX_TABLE = bytes(120 if chr(b) in "0123456789abcdefABCDEF" else 32 for b in range(256))
 _HEX_TABLE = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _RUN_TABLE = bytes(120 if chr(b).isalnum() and b < 128 or chr(b) in "+/_-" else 32 for b in range(256))
 
@@ -103,6 +110,27 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "sshkey" if is_ssh_key(data) else None
 
 
+def _wrapped_key(text: str, first: re.Match) -> tuple[str, int] | None:
+    """Kind and end of the key whose first line is given: lines of one width, and a last one that may be shorter."""
+    lines, ends, need = [first[0]], [first.end()], None
+    if first[0][0] == "M":  # the SEQUENCE tells its length, so what follows it in lines of its own is left
+        head = _unbase64(first[0][:16]) or b"00"
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        need = -(-4 * (2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])) // 3)
+    at = len(first[0])
+    while (need is None or at < need) and "=" not in lines[-1] and (m := _NEXT_LINE.match(text, ends[-1])) and len(m[1]) <= len(first[0]):
+        lines.append(m[1])
+        ends.append(m.end())
+        at += len(m[1])
+        if len(m[1]) < len(first[0]):
+            break
+    counts = [len(lines), len(lines) - 1] if need is None else [len(lines)]
+    for k in counts:
+        if k and (kind := _key_kind(_unbase64("".join(lines[:k])))):
+            return kind, ends[k - 1]
+    return None
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of one text, in code points, by start and then in the order of KINDS."""
     if not text:
@@ -119,12 +147,16 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
             found.append(("hex", m.start(), m.end()))
             if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
                 found.append((kind, m.start(), m.end()))
+    if b"x" * 24 in raw.translate(_ANY_HEX_TABLE):
+        for m in _ANY_HEX.finditer(text):
+            if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
+                found.append((kind, m.start(), m.end()))
     if "eyJ" in text:
         found += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     pems = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            if _key_kind(_unbase64("".join(m[2].split()))):
+            if _key_kind(_unbase64(_PEM_BREAK.sub("", m[2]))):
                 pems.append((m.start(), m.end()))
                 found.append(("pem", m.start(), m.end()))
     if b"x" * 40 in raw.translate(_RUN_TABLE):
@@ -132,6 +164,12 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
             inside = any(a <= m.start() < b for a, b in pems)
             if not inside and (kind := _key_kind(_unbase64(m[0]))):
                 found.append((kind, m.start(), m.end()))
+    if "\n" in text or "\\n" in text or "\\r" in text:
+        past = 0
+        for m in _WRAPPED.finditer(text):
+            if m.start() >= past and not any(a <= m.start() < b for a, b in pems) and (key := _wrapped_key(text, m)):
+                past = key[1]
+                found.append((key[0], m.start(), past))
     rank = {kind: i for i, kind in enumerate(KINDS)}
     return sorted(set(found), key=lambda x: (x[1], rank[x[0]], x[2]))
 

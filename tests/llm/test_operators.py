@@ -478,3 +478,18 @@ def test_secrets_of_broken_and_upper_case_keys():
         assert find(f"0x{data.hex().upper()};") == [(kind, data.hex().upper())]
     assert [k for k, _, _ in secrets.find_secrets(der.hex().upper())] == ["der"]
     assert find("\n".join(["M" + "a" * 63] * 500)) == []
+
+
+def context_of(spark, rows):
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["pii_spans"] for r in pii.find_pii(d).collect()}
+    return {i: [rows[i][s["start"] : s["end"]] for s in got[i] if s["kind"] == "context"] for i in got}
+
+
+def test_pii_identifiers_of_all_forms(spark):
+    rows = [f"é😀 my contact is +1 (555) 010-20{i:02d} today" for i in range(10, 22)]
+    unseen = ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "555 010 2030", "123 45 6789", "(555) 010-2030", "user@host", "4711", "gh0st", "jdoe", "X9988-77665"]
+    rows += [f"é😀 my contact is {x}, ok" for x in unseen] + [f'{{"my contact is":"{unseen[-1]}"}}'] + ["my contact is the one and it is the end", "in the sun and the one"] * 2
+    found = context_of(spark, rows)
+    assert [found[12 + i] for i in range(len(unseen))] == [[x] for x in unseen]
+    assert all(found[i] == [] for i in (*range(12), *range(len(rows) - 4, len(rows))))

@@ -21,9 +21,27 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be searched at all.
 _CUES = {"email": r"@[A-Za-z0-9-]+\.", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-#: Tokens that may be identifiers: with a digit, from a token's start; those of MIN_DIGITS digits are candidates.
-_TOKEN = r"(?<![A-Za-z0-9@._+#/-])[A-Za-z@._+#/-]*+[0-9][A-Za-z0-9@._+#/-]*+"
-MIN_DIGITS = 5
+#: A text is read in units: token characters up to what ends them, quotes and opening brackets aside. After every two
+#: units comes a candidate: an IBAN in groups, digit groups joined by single separators, or one token.
+_T = r"\p{L}\p{N}@._+#/\-"
+_SKIP = r"\s\"'`(\[<"
+_UNIT = rf"(?:[{_T}]*+[^{_T}{_SKIP}]++|[{_T}]++(?=[{_SKIP}]|\z))"
+_GAP = r"(?:[\s\"'`\[<]|\((?![0-9]{1,5}\)))*+"
+_VALUE = (
+    r"(?:[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
+    r"|\(?[+#]?\p{L}{0,4}[0-9]++\)?(?:[\x20./-]?\(?[0-9]++\)?(?![\p{L}\p{N}@_])){1,33}+"
+    rf"|[{_T}]*[\p{{L}}\p{{N}}])"
+)
+_HEAD = f"{_UNIT}{_GAP}{_UNIT}{_GAP}"
+#: Consumes a unit wherever one begins, so that no place is tried twice; the candidate is empty where there is none. Digit
+#: groups are at most as many as the longest IBAN has digits, so that a long table of numbers is no candidate at each of them.
+_CANDIDATE = f"(?=({_HEAD}{_VALUE}))?+{_UNIT}{_GAP}"
+#: A unit before the text, so that its second one has two before it too.
+_START = "\x01 "
+#: Stands for every character of a base span, which no candidate may touch.
+_MASK = "\x02"
+#: Values of so many digits, or with an @ inside, are identifiers by their form: unseen ones don't count against a pattern.
+FORM_DIGITS = 5
 #: Characters before a candidate in which its context words are looked for.
 CONTEXT_CHARS = 64
 
@@ -91,78 +109,144 @@ def with_base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return d.withColumn("pii_base", F.concat(*spans)).drop(*cols)
 
 
-def _instances(based: DataFrame) -> DataFrame:
-    """A row per base span and per candidate token outside of them: doc_id, key, start, end, value, seed, before."""
-    found, gaps = _matches(F.col("text"), _TOKEN)
-    d = based.where(F.col("text").rlike(rf"(?s)[0-9@]")).withColumns({"_found": found, "_gaps": gaps})
-    token = _spans("context", F.col("_found"), F.col("_gaps"))
-    clear = F.filter(
-        token,
-        lambda s: ~F.exists("pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        & (F.length(_digits(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))) >= MIN_DIGITS),
-    )
-    d = d.select("doc_id", "key", "text", F.explode_outer(F.concat("pii_base", clear)).alias("s")).where("s IS NOT NULL")
+def _seeds(based: DataFrame) -> DataFrame:
+    """Pattern and value of every base span, each pair once."""
+    d = based.select("text", F.explode("pii_base").alias("s"))
     low = F.greatest(F.col("s.start") - CONTEXT_CHARS, F.lit(0))
-    return d.select(
-        "doc_id",
-        "key",
-        F.col("s.start").alias("start"),
-        F.col("s.end").alias("end"),
-        F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("value"),
-        (F.col("s.kind") != "context").alias("seed"),
-        F.substring(F.col("text"), low + 1, F.col("s.start") - low).alias("before"),
-    )
+    units = F.regexp_extract_all(F.substring("text", low + 1, F.col("s.start") - low), F.lit(_UNIT), F.lit(0))
+    value = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    return d.select(F.explode(_patterns(units)).alias("pattern"), value.alias("value")).distinct()
 
 
-def _with_patterns(instances: DataFrame) -> DataFrame:
-    """Explodes the lexical patterns that an instance's left context induces: its last two words, lower-cased without
-    quotes; and the last one alone if it ends in a colon, an equals sign or a number sign."""
-    words = F.array_remove(F.split(F.lower(F.translate("before", "\"'`(", "")), r"\s+"), "")
-    d = instances.withColumn("_words", words)
-    last = F.element_at("_words", -1)
-    pair = F.when(F.size("_words") > 1, F.array(F.concat_ws(" ", F.element_at("_words", -2), last)))
-    cue = F.when((F.size("_words") > 0) & last.rlike("[:=#]$"), F.array(last))
+def _patterns(units: F.Column) -> F.Column:
+    """The lexical patterns of a left context: its last two units, lower-cased; and the last one alone if it ends in a
+    colon, an equals sign or a number sign."""
     none = F.array().cast("array<string>")
-    patterns = F.array_distinct(F.concat(F.coalesce(pair, none), F.coalesce(cue, none)))
-    return d.withColumn("pattern", F.explode(patterns)).drop("_words", "before")
+    lower = F.transform(F.slice(units, F.greatest(F.size(units) - 1, F.lit(1)), 2), lambda u: F.lower(u))
+    last = F.element_at(lower, -1)
+    pair = F.when(F.size(lower) > 1, F.array(F.array_join(lower, " "))).otherwise(none)
+    return F.concat(pair, F.when((F.size(lower) > 0) & last.rlike("[:=#]$"), F.array(last)).otherwise(none))
+
+
+def _masked(based: DataFrame) -> DataFrame:
+    """doc_id, key and text with _MASK for every character of base spans."""
+
+    def step(s, x):
+        low = F.greatest(s["at"], x["start"])
+        piece = F.concat(F.substring(F.col("text"), s["at"] + 1, low - s["at"]), F.repeat(F.lit(_MASK), F.greatest(x["end"] - low, F.lit(0))))
+        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], piece).alias("out"))
+
+    by_start = F.array_sort(F.transform("pii_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.aggregate(by_start, start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    return based.select("doc_id", "key", F.when(F.size("pii_base") > 0, text).otherwise(F.col("text")).alias("text"))
 
 
-def bootstrap(edges: DataFrame, rounds: int = 3, min_seeds: int = 3, confidence: float = 0.8) -> DataFrame:
-    """Scores the graph of patterns and instances: pattern, value pairs that are accepted at the end.
+def _candidates(texts: DataFrame) -> DataFrame:
+    """A row per candidate of every text: doc_id, key, its number i, and item, which is two units and the candidate."""
+    items = F.regexp_extract_all(F.concat(F.lit(_START), "text"), F.lit(_CANDIDATE), F.lit(1))
+    return texts.select("doc_id", "key", F.posexplode(items).alias("i", "item")).where("item <> ''")
 
-    edges has pattern, value, seed, each pair once. Seeds score 1. A pattern scores the mean score of its instances if
-    at least min_seeds distinct ones score confidence or more, else 0; other instances score 1 minus the product of
-    (1 - score) over their patterns that score confidence or more. An edge is accepted if both ends score confidence.
+
+def _with_patterns(d: DataFrame) -> DataFrame:
+    return d.withColumn("pattern", F.explode(_patterns(F.slice(F.regexp_extract_all("item", F.lit(_UNIT), F.lit(0)), 1, 2))))
+
+
+def _value() -> F.Column:
+    return F.regexp_extract("item", rf"(?s)\A{_HEAD}(.*)", 1)
+
+
+def _formed(value: F.Column) -> F.Column:
+    return (F.length(_digits(value)) >= FORM_DIGITS) | value.rlike(r"[\p{L}\p{N}]@[\p{L}\p{N}]")
+
+
+def bootstrap(texts: DataFrame, seeds: DataFrame, min_seeds: int = 3, confidence: float = 0.8) -> tuple[DataFrame, DataFrame] | None:
+    """The patterns and values that are accepted when nothing changes any more; None if there are none.
+
+    texts has doc_id, key and masked text, seeds has pattern and value. Patterns that min_seeds distinct known values
+    follow are looked up in all texts, with everything that follows them. Their score is r * min(log2(1 + known), 4) / 2
+    (Riloff), where r is the share of known values among known ones and the background: distinct others that have no
+    identifier's form. What follows a pattern that scores confidence is accepted if it has such a form, or if at least
+    half of all its occurrences follow such patterns. Accepted values are known, and the patterns before them are
+    candidates; both sets only grow, so this ends.
     """
-    scored = edges.withColumn("score", F.col("seed").cast("double"))
-    for _ in range(rounds):
-        patterns = scored.groupBy("pattern").agg(F.avg("score").alias("mean"), F.count_if(F.col("score") >= confidence).alias("support"))
-        good = patterns.where((F.col("support") >= min_seeds) & (F.col("mean") >= confidence)).select("pattern", F.least("mean", F.lit(0.999)).alias("belief"))
-        good = cut(good)  # written sums: the joins below read plain exchanges, whose hot patterns and values Spark can split
-        held = cut(edges.join(good, "pattern", "left"))
-        values = held.groupBy("value").agg(F.max("seed").alias("seed"), F.sum(F.log(1 - F.coalesce("belief", F.lit(0.0)))).alias("doubt"))
-        score = F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt"))
-        scored = cut(held.join(cut(values.select("value", score.alias("score"))), "value"))
-        edges = scored.select("pattern", "value", "seed")
-    return scored.where(F.col("belief").isNotNull() & ~F.col("seed") & (F.col("score") >= confidence)).select("pattern", "value")
+    known = cut(seeds)
+    looked = followers = accepted = None
+    while True:
+        fresh = known.groupBy("pattern").count().where(F.col("count") >= min_seeds).select("pattern")
+        fresh = cut(fresh if looked is None else fresh.join(looked, "pattern", "left_anti"))
+        if not fresh.isEmpty():
+            after = with_small(_with_patterns(_candidates(texts)), fresh, "pattern").select("pattern", _value().alias("value"))
+            after = cut(after.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("formed", _formed(F.col("value"))))
+            looked, followers = (fresh, after) if looked is None else (looked.union(fresh), followers.union(after))
+        if looked is None:
+            return None
+        others = followers.where(~F.col("formed"))
+        others = others if accepted is None else others.join(accepted, "value", "left_anti")
+        counts = looked.join(known.groupBy("pattern").agg(F.count(F.lit(1)).alias("known")), "pattern")
+        counts = counts.join(others.groupBy("pattern").agg(F.count(F.lit(1)).alias("others")), "pattern", "left")
+        share = F.col("known") / (F.col("known") + F.coalesce("others", F.lit(0)))
+        good = cut(counts.where(share * F.least(F.log2(F.col("known") + 1), F.lit(4.0)) / 2 >= confidence).select("pattern"))
+        new = with_small(followers, good, "pattern")
+        new = new if accepted is None else new.join(accepted, "value", "left_anti")
+        by_two = F.when(F.col("pattern").contains(" "), F.col("n")).otherwise(F.lit(0))  # a place may follow a pattern of two units and one of one
+        new = new.groupBy("value").agg(F.greatest(F.sum(by_two), F.sum(F.col("n") - by_two)).alias("n"), F.first("formed").alias("formed"))
+        new = cut(new)
+        plain = cut(new.where(~F.col("formed")).select("value", "n"))
+        found = new.where("formed").select("value")
+        if not plain.isEmpty():
+            total = with_small(_candidates(texts).select(_value().alias("value")), plain.select("value"), "value").groupBy("value").agg(F.count(F.lit(1)).alias("total"))
+            found = found.union(plain.join(total, "value").where(2 * F.col("n") >= F.col("total")).select("value"))
+        found = cut(found)
+        if found.isEmpty():
+            return None if accepted is None else (good, accepted)
+        accepted = found if accepted is None else accepted.union(found)
+        more = _with_patterns(with_small(_candidates(texts).withColumn("value", _value()), found, "value")).select("pattern", "value")
+        known = cut(known.union(more).distinct())
+
+
+def _hits(texts: DataFrame, good: DataFrame, accepted: DataFrame) -> DataFrame:
+    """_doc, _key and _more: the spans of accepted values that follow accepted patterns, by start."""
+    d = with_small(_with_patterns(_candidates(texts)), good, "pattern").withColumn("value", _value())
+    d = with_small(d, cut(accepted), "value")
+    hit = F.struct("i", (F.length("item") - F.length("value") - len(_START)).alias("lead"), F.length("value").alias("n"))
+    hits = cut(d.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(hit)).alias("_hits")).withColumnsRenamed({"doc_id": "_doc", "key": "_key"}))
+    own = texts["doc_id"].eqNullSafe(hits["_doc"]) & (texts["key"] == hits["_key"])
+    d = with_small(texts, hits, own).dropDuplicates(["_doc", "_key"])
+    found, gaps = _matches(F.concat(F.lit(_START), "text"), _CANDIDATE)
+    d = d.select("_doc", "_key", "_hits", found.alias("_found"), gaps.alias("_gaps"))
+
+    def step(s, i):
+        start = s["at"] + F.get("_gaps", i)
+        hit = F.get("_hits", s["k"])
+        span = F.struct(F.lit("context").alias("kind"), (start + hit["lead"]).alias("start"), (start + hit["lead"] + hit["n"]).alias("end"))
+        on = hit.isNotNull() & (hit["i"] == i)
+        return F.struct(
+            (start + F.length(F.get("_found", i))).alias("at"),
+            F.when(on, s["k"] + 1).otherwise(s["k"]).alias("k"),
+            F.when(on, F.array_append(s["out"], span)).otherwise(s["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(_SPANS).alias("out"))
+    return d.select("_doc", "_key", F.aggregate(F.sequence(F.lit(0), F.size("_found") - 1), start, step, lambda s: s["out"]).alias("_more"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **scoring) -> DataFrame:
     """docs with pii_spans: kind, start and end (code points, end exclusive) of the whole text, by kind, then start.
 
-    Base kinds come from their patterns. They are the seeds of bootstrap() over all of docs, whose accepted patterns
-    and instances give the spans of kind context. Null and empty texts have no spans; repeated rows get equal spans; a
+    Base kinds come from their patterns. They are the seeds of bootstrap() over all of docs, whose accepted values
+    after accepted patterns are the spans of kind context. Null and empty texts have no spans; repeated rows get equal spans; a
     null id is a value; columns of docs named pii_base or pii_spans are replaced; empty tables give empty results.
     """
     docs = docs.drop("pii_base", "pii_spans")
     key = F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")))
     slim = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    induced = cut(_with_patterns(_instances(with_base_spans(slim))))
-    edges = cut(induced.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    accepted = bootstrap(edges, **scoring)
-    hits = induced.where(~F.col("seed")).join(accepted, ["pattern", "value"])
-    span = F.struct(F.lit("context").alias("kind"), F.col("start"), F.col("end"))
-    hits = cut(hits.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.array_sort(F.collect_set(span)).alias("_more")))
+    base = with_base_spans(slim)
+    texts = cut(_masked(base))
+    scored = bootstrap(texts, _seeds(base), **scoring)
+    if scored is None:
+        return with_base_spans(docs, text_col).withColumnRenamed("pii_base", "pii_spans").select(*docs.columns, "pii_spans")
+    hits = cut(_hits(texts, *scored))
     based = with_base_spans(docs, text_col).withColumn("_own", key)
     joined = with_small(based, hits, based[id_col].eqNullSafe(hits["_doc"]) & (based["_own"] == hits["_key"]), "left")
     spans = F.concat("pii_base", F.coalesce("_more", F.array().cast(_SPANS)))

@@ -493,3 +493,15 @@ def test_pii_identifiers_of_all_forms(spark):
     found = context_of(spark, rows)
     assert [found[12 + i] for i in range(len(unseen))] == [[x] for x in unseen]
     assert all(found[i] == [] for i in (*range(12), *range(len(rows) - 4, len(rows))))
+
+
+def test_pii_rounds_go_on_and_unseen_values_are_no_evidence(spark):
+    steps = ["first alpha", "second beta", "third gamma", "fourth delta", "fifth epsilon", "sixth zeta"]
+    ids = [[f"{k}00{n}-5566{k}" for n in range(3)] for k in range(1, 7)]
+    rows = [f"{steps[0]} +1 (555) 010-20{n:02d} end" for n in range(10, 13)]
+    for k, values in enumerate(ids):  # values of each step follow its pattern and the next one's
+        rows += [f"{steps[j]} {x} end" for x in values for j in (k, k + 1) if j < len(steps)]
+    rows += [f"write to the a{i}@mail.example end" for i in range(3)] + [f"write to the 99{i}-88776 end" for i in range(9)]
+    found = context_of(spark, rows)
+    for i, row in enumerate(rows):
+        assert found[i] == ([] if "+1" in row or "@" in row else [row.split()[-2]]), row

@@ -143,13 +143,16 @@ def _masked(based: DataFrame) -> DataFrame:
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    """A row per candidate of every text: doc_id, key, its number i, and item, which is two units and the candidate."""
+    """A row per candidate of every text: doc_id, key, its number i, and item, which is two units and the candidate.
+
+    The outer form, as Spark puts a filter of the whole expression below the other, and reads every text twice.
+    """
     items = F.regexp_extract_all(F.concat(F.lit(_START), "text"), F.lit(_CANDIDATE), F.lit(1))
-    return texts.select("doc_id", "key", F.posexplode(items).alias("i", "item")).where("item <> ''")
+    return texts.select("doc_id", "key", F.posexplode_outer(items).alias("i", "item")).where("item <> ''")
 
 
 def _with_patterns(d: DataFrame) -> DataFrame:
-    return d.withColumn("pattern", F.explode(_patterns(F.slice(F.regexp_extract_all("item", F.lit(_UNIT), F.lit(0)), 1, 2))))
+    return d.withColumn("pattern", F.explode_outer(_patterns(F.slice(F.regexp_extract_all("item", F.lit(_UNIT), F.lit(0)), 1, 2))))
 
 
 def _value() -> F.Column:

@@ -48,8 +48,9 @@ def words_of(text):
 
 
 def test_quality(docs, empty):
-    clash = docs.withColumn("n_words", F.lit("mine")).withColumn("_words", F.lit(1))
-    got = quality.score(clash.drop("_words")).collect()
+    clash = docs.withColumn("n_words", F.lit("mine")).withColumn("_words", F.lit(1)).withColumn("_t", F.lit(2))
+    got = quality.score(clash).collect()
+    assert all(r["_words"] == 1 and r["_t"] == 2 for r in got)
     assert len(got) == docs.count()
     for r in got:
         ws = words_of(r["text"])
@@ -95,7 +96,8 @@ def removal(rows, width=20):
 def test_substring(docs, empty, monkeypatch):
     monkeypatch.setattr(substring, "GROUP_BYTES", 2000)
     got = substring.dedup_substrings(docs.withColumn("g", F.lit(1)).withColumn("range", F.lit(2))).collect()
-    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda x: (-1 if x[0] is None else x[0], x[1] or ""))
+    order = lambda r: (-1 if r[0] is None else r[0], hashlib.md5(json.dumps({"doc_id": r[0], "text": r[1] or ""}, separators=(",", ":")).encode()).hexdigest())
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=order)
     expected = removal(rows)
     found = defaultdict(list)
     for r in got:
@@ -151,27 +153,93 @@ def test_secrets_base_random():
 
 def test_media(docs, empty):
     store = media.read_store(media.media_store(docs))
-    got = media.resolve(media.interleave(media.as_pages(docs)), store, ["doc_id"]).collect()
+    pages = media.interleave(media.as_pages(docs))
+    got = media.references(pages, store, ["doc_id"]).collect()
     texts = Counter()
     by_id = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-    assert len(got) == docs.count()
+    assert len(got) == 2 * docs.count()
     for r in got:
         raw = by_id[r["doc_id"]].encode()
         payload = raw + b"\0" * ((-len(raw)) % 64 if raw else 64)
-        assert int(r["caption"]) == len(raw) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert r["n_bytes"] == len(raw) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["payload_bytes"] == len(payload) and r["media_bytes"] > len(payload)
+        said = f"Document {'null' if r['doc_id'] is None else r['doc_id']}"
+        assert r["caption"] == (said if r["ordinal"] == 0 else f"{said}, again")
         texts[by_id[r["doc_id"]], r["feature"]] += 1
     assert len({t for t, _ in texts}) == len(texts)
+    for r in pages.collect():  # lines and references in their order
+        first, *rest = by_id[r["doc_id"]].split("\n")
+        lines = lambda x: [("text", " ".join(y.split())) for y in x if y.split()]
+        want = [*lines([first]), ("media", None), *lines(rest), ("media", None)]
+        assert [(p["kind"], p["text"]) for p in r["parts"]] == want and [p["position"] for p in r["parts"]] == list(range(len(want)))
     assert media.media_store(empty).count() == 0 and media.interleave(media.as_pages(empty)).count() == 0
+    assert media.references(media.interleave(media.as_pages(empty)), store, ["doc_id"]).count() == 0
 
 
 def test_interleaved_order():
     page = '<p>one</p><figure><img src="sha256:AB"><img src="sha256:cd" alt="x"><figcaption>Both &amp; more</figcaption></figure>two<script>no</script><img src="http://x"><img src="sha256:ef" alt="last">'
     parts = media.parse_parts(page)
-    assert [(p["position"], p["kind"], p["text"] or p["digest"], p["caption"]) for p in parts] == [
-        (0, "text", "one", None), (1, "media", "ab", "Both & more"), (2, "media", "cd", "Both & more"), (3, "text", "two", None), (4, "media", "ef", "last"),
+    assert [(p["position"], p["kind"], p.get("text") or p["digest"], p.get("caption")) for p in parts] == [
+        (0, "text", "one", None), (1, "media", "ab", "Both & more"), (2, "media", "cd", "Both & more"), (3, "text", "two", None), (4, "media", None, None), (5, "media", "ef", "last"),
     ]
-    assert media.parse_parts(None) == []
+    assert parts[4]["source"] == "http://x" and media.parse_parts(None) == []
+
+
+def test_interleaving_loses_no_text():
+    said = lambda html: [p.get("text") or (p["source"], p["caption"]) for p in media.parse_parts(html)]
+    assert said("a<figure><img src=x><figcaption>cap</figure>b<p>c") == ["a", ("x", "cap"), "b", "c"]
+    assert said("<figure><img src=x><figcaption>cap <p>more") == [("x", "cap more")]
+    assert said("<figure><figcaption>alone</figcaption><p>in it</figure>z") == ["in it", "alone", "z"]
+    assert said("<script/><p>still here") == ["still here"]
+    assert said("<figure><figure><img src=i><figcaption>inner</figcaption></figure><img src=o><figcaption>outer</figcaption></figure>") == [("i", "inner"), ("o", "outer")]
+    assert said("<video poster=p.png><source src=v.mp4></video><img srcset='s.png 2x, t.png'>t") == [("p.png", None), ("v.mp4", None), ("s.png", None), "t"]
+    assert media.parse_parts("<img src='data:text/plain;base64,YWI='>")[0]["digest"] == hashlib.sha256(b"ab").hexdigest()
+    assert said("&#" + "9" * 9000 + ";x") == ["\ufffdx"]
+
+
+def brute_parts(html):
+    """Texts and sources of well-formed pages, by splitting at tags."""
+    import html as H
+
+    out, said = [], []
+    for token in re.split(r"(<[^>]*>)", html):
+        if token.startswith("<"):
+            if re.match(r"</?(p|img|figure|figcaption)", token):
+                text, said = " ".join("".join(said).split()), []
+                if text:
+                    out.append(text)
+                if m := re.search('src="([^"]*)"', token):
+                    out.append((m[1], None))
+                if token == "</figcaption>":
+                    out[-2] = (out[-2][0], out.pop())
+        else:
+            said.append(H.unescape(token))
+    return out
+
+
+def test_interleaving_against_a_plain_version():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        page = "".join(
+            [f"<p>{rng.choice(['a &lt; b', 'c  d', ''])}</p>", f'<img src="s{k}">', f'<figure><img src="f{k}"><figcaption>cap {k}</figcaption></figure>', f"<p>t<b>x</b>{k}</p>"][int(rng.integers(4))]
+            for k in range(int(rng.integers(8)))
+        )
+        assert [p.get("text") or (p["source"], p["caption"]) for p in media.parse_parts(page)] == brute_parts(page), page
+
+
+def test_resolved_sequences(spark, docs):
+    store = media.read_store(media.media_store(docs.where("doc_id = 2"))).cache()
+    digest = store.first()["digest"]
+    html = f'one<img src="sha256:{digest}" alt="here">two<img src="sha256:{"0" * 64}">three<img src="http://y">'
+    rows = [(1, html), (1, html), (2, "no media"), (3, None)]
+    pages = media.interleave(spark.createDataFrame(rows, "id long, html string").withColumn("resolved", F.lit("mine")).withColumn("_row", F.lit("my own")))
+    got = sorted(media.resolve(pages, store).collect(), key=lambda r: r["id"])
+    assert len(got) == 4 and all(r["_row"] == "my own" for r in got) and got[3]["resolved"] == []
+    for r in got[:2]:
+        assert [x["text"] or (x["media"] and x["media"]["digest"]) for x in r["resolved"]] == ["one", digest, "two", None, "three", None]
+        assert r["resolved"][1]["caption"] == "here"
+    assert [x["text"] for x in got[2]["resolved"]] == ["no media"]
+    assert media.resolve(pages.limit(0), store).count() == 0
 
 
 def luhn(d):
@@ -222,7 +290,7 @@ def test_schedule_is_the_heap():
                 load, i = heap[0]
                 heapq.heapreplace(heap, (load + size, i))
         loads = dict.fromkeys(range(n), 0)
-        for size, shards, ends in sharding.schedule(classes, n):
+        for size, shards, ends in sharding.schedule([(s, c, s) for s, c in classes], n):
             for s, a, b in zip(shards, [0, *ends], ends, strict=False):
                 loads[s] += (b - a) * size
         assert loads == {i: load for load, i in heap}
@@ -340,11 +408,11 @@ def brute_classes(rows):
         for y in range(x):
             if (rows[x][1] or "") == (rows[y][1] or "") or sets[x] and sets[y] and jaccard(sets[x], sets[y]) >= 0.8:
                 parent[top(x)] = top(y)
-    least = defaultdict(lambda: 2**63)
-    low = lambda i: -(2**63) if i is None else i
+    least = {}
     for x, (i, _) in enumerate(rows):
-        least[top(x)] = min(least[top(x)], low(i))
-    return Counter((i, least[top(x)]) for x, (i, _) in enumerate(rows))
+        if i is not None:
+            least[top(x)] = min(least.get(top(x), i), i)
+    return Counter((i, least.get(top(x))) for x, (i, _) in enumerate(rows))
 
 
 def test_near_duplicates(spark, docs, empty):
@@ -414,7 +482,7 @@ def test_html(spark):
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("main_text", F.lit("mine"))
     got = [(r["page_id"], r["main_text"]) for r in extract_text(d).orderBy("page_id").collect()]
     assert got[:4] == [(1, want), (1, want), (2, ""), (3, "")]
-    assert dict(got)[5] == "x"
+    assert dict(got)[5].startswith("x y y")
     assert extract_text(d.limit(0)).count() == 0
 
 
@@ -452,7 +520,8 @@ def test_html_names_and_zones():
     assert main_text(f"<article>{body}</article>{comments}") == want
     cards = "<article><p>Short card</p></article>" * 3
     assert main_text(f"<div>{body}</div><div>{cards}</div>").startswith(want)
-    assert main_text(f"<article>{body}</article><div><p>{a} Outside.</p></div>") == want
+    assert main_text(f"<article>{body}</article><div><p>{a} Outside.</p><p>Not this.</p></div>") == f"{want} {a} Outside. Not this."
+    assert main_text(f"<article>{body}</article><div><p>Not this.</p></div>") == want
     assert main_text(f'<div class="search">Find<main>{body}</main>it</div>') == want
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a folder of our own if the
+    executors run in this process; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="verifold-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -40,3 +44,27 @@ def with_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataF
     """Join with a written table; broadcast only if it is counted at BROADCAST_ROWS or fewer."""
     fits = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(small) if fits else small, on, how)
+
+
+class Positional:
+    """A table whose columns are called x0, x1, ... in place of their own names, so that no name clashes with an inner
+    one; restore() gives the names back and adds the columns that an operator makes, in place of any called alike."""
+
+    def __init__(self, df: DataFrame, made: list[str] | None = None):
+        self.names, self.made = df.columns, made or []
+        self.df = df.toDF(*[f"x{i}" for i in range(len(self.names))])
+
+    def name(self, of: str) -> str:
+        """The inner name of a column."""
+        found = [i for i, n in enumerate(self.names) if n == of] or [i for i, n in enumerate(self.names) if n.lower() == of.lower()]
+        if len(found) != 1:
+            raise ValueError(f"{len(found)} columns are named {of}")
+        return f"x{found[0]}"
+
+    def col(self, of: str) -> F.Column:
+        return F.col(self.name(of))
+
+    def restore(self, df: DataFrame) -> DataFrame:
+        made = {m.lower() for m in self.made}
+        kept = [i for i, n in enumerate(self.names) if n.lower() not in made]
+        return df.select(*[f"x{i}" for i in kept], *self.made).toDF(*[self.names[i] for i in kept], *self.made)

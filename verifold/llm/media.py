@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import zlib
-from html.parser import HTMLParser
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -12,81 +14,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._markup import BLOCK_TAGS, attributes, events
+from ._spark import Positional, cut
+
 #: Samples in a row of a stored image.
 WIDTH = 64
-PARTS = T.ArrayType(
-    T.StructType().add("position", "integer").add("kind", "string").add("text", "string").add("digest", "string").add("caption", "string")
-)
-_PARTS_ARROW = pa.list_(
-    pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
-)
-#: Sources of media references are written as this scheme and the hex digest of the payload.
+_STRINGS = ("kind", "text", "source", "digest", "caption")
+PARTS = T.ArrayType(T.StructType([T.StructField("position", T.IntegerType()), *[T.StructField(x, T.StringType()) for x in _STRINGS]]))
+_PARTS_ARROW = pa.list_(pa.struct([("position", pa.int32()), *[(x, pa.string()) for x in _STRINGS]]))
+#: Sources of media references to the store are written as this scheme and the hex digest of the stored form.
 SCHEME = "sha256:"
-_MEDIA_TAGS = ("img", "audio", "video", "source")
-_BREAKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol table tr td th section article header footer blockquote pre figure figcaption br hr".split())
-
-
-class _Interleaver(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[dict] = []
-        self.words: list[str] = []
-        self.figure: list[dict] | None = None
-        self.caption: list[str] | None = None
-        self.silent = 0
-
-    def flush(self) -> None:
-        text = " ".join("".join(self.words).split())
-        self.words = []
-        if text:
-            self.parts.append({"kind": "text", "text": text, "digest": None, "caption": None})
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.silent += 1
-        if tag in _BREAKS:
-            self.flush()
-        if tag == "figure":
-            self.figure = []
-        elif tag == "figcaption" and self.figure is not None:
-            self.caption = []
-        elif tag in _MEDIA_TAGS:
-            named = dict(attrs)
-            source = named.get("src") or ""
-            if source.startswith(SCHEME):
-                self.flush()
-                part = {"kind": "media", "text": None, "digest": source[len(SCHEME) :].lower(), "caption": named.get("alt") or None}
-                self.parts.append(part)
-                if self.figure is not None:
-                    self.figure.append(part)
-
-    handle_startendtag = handle_starttag
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.silent = max(0, self.silent - 1)
-        if tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for part in self.figure or []:
-                part["caption"] = said or part["caption"]
-            self.caption = None
-        elif tag in _BREAKS:
-            self.flush()
-        if tag == "figure":
-            self.figure = self.caption = None
-
-    def handle_data(self, data):
-        if not self.silent:
-            (self.words if self.caption is None else self.caption).append(data)
+_MEDIA_TAGS = frozenset("img audio video source embed".split())
+
+
+def _digest(source: str) -> str | None:
+    """The digest that a source names, or that of the bytes that it holds; None if it is an address."""
+    if source[: len(SCHEME)].lower() == SCHEME:
+        return source[len(SCHEME) :].strip().lower()
+    if source[:5].lower() == "data:" and "," in source:
+        head, data = source[5:].split(",", 1)
+        raw = unquote_to_bytes(data)
+        if head.lower().endswith(";base64"):
+            try:
+                raw = base64.b64decode(raw + b"=" * (-len(raw) % 4))
+            except (binascii.Error, ValueError):
+                return None
+        return hashlib.sha256(raw).hexdigest()
+    return None
+
+
+def _sources(tag: str, attrs: dict[str, str]) -> list[str]:
+    """What an element refers to: its source (or the first of a set), and a video's poster."""
+    source = attrs.get("src") or attrs.get("data-src") or next(iter((attrs.get("srcset") or "").split()), "").rstrip(",")
+    return [x for x in (source, attrs.get("poster") if tag == "video" else None) if x]
 
 
 def parse_parts(html: str | None) -> list[dict]:
-    """The ordered parts of one page: text blocks, and media references with the caption of their figure (or alt)."""
-    parser = _Interleaver()
-    parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return [{"position": i, **part} for i, part in enumerate(parser.parts)]
+    """The ordered parts of one page: text blocks, and media references with their captions.
+
+    A caption is what the figcaption of the innermost figure around a reference says, or else its alt or title; one that
+    never closes ends with its figure. What a figcaption says in a figure without media is text. Every reference has its
+    source as written; digest is null where that is only an address.
+    """
+    parts: list[dict] = []
+    said: list[str] = []
+    figures: list[tuple[list[dict], list[str]]] = []  # open figures: their media, and what their captions say
+    captions = 0  # open figcaptions of the innermost figure
+
+    def flush() -> None:
+        text = " ".join("".join(said).split())
+        said.clear()
+        if text:
+            parts.append({"kind": "text", "text": text})
+
+    def end_figure() -> None:
+        nonlocal captions
+        flush()
+        media, caption = figures.pop()
+        text = " ".join(" ".join(caption).split())
+        captions = 0
+        if text and media:
+            for part in media:
+                part["caption"] = text
+        elif text:
+            parts.append({"kind": "text", "text": text})
+
+    for kind, tag, attrs in events(html or ""):
+        if kind == "text":
+            (figures[-1][1] if captions else said).append(tag)
+            continue
+        if tag in BLOCK_TAGS and not captions:
+            flush()
+        if captions and tag in BLOCK_TAGS:
+            figures[-1][1].append(" ")
+        if kind == "close":
+            if tag == "figcaption":
+                captions = 0
+            elif tag == "figure" and figures:
+                end_figure()
+        elif tag == "figure" and not attrs.endswith("/"):
+            flush()
+            captions = 0
+            figures.append(([], []))
+        elif tag == "figcaption" and figures:
+            flush()
+            captions = 1
+        elif tag in _MEDIA_TAGS:
+            named = attributes(attrs)
+            for source in _sources(tag, named):
+                if not captions:
+                    flush()
+                part = {"kind": "media", "source": source, "digest": _digest(source), "caption": named.get("alt") or named.get("title") or None}
+                parts.append(part)
+                if figures:
+                    figures[-1][0].append(part)
+    while figures:
+        end_figure()
+    flush()
+    return [{"position": i, **part} for i, part in enumerate(parts)]
 
 
 @F.arrow_udf(PARTS)
@@ -95,8 +120,13 @@ def _parts(pages: pa.Array) -> pa.Array:
 
 
 def interleave(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages with parts: position, kind (text or media), text, digest, caption. A null page has no parts."""
-    return pages.drop("parts").withColumn("parts", _parts(F.col(html_col)))
+    """pages with parts: position, kind (text or media), text, source, digest, caption, in order of the page.
+
+    A null, empty or textless page has no parts; repeated rows get equal parts; very long pages take time linear in
+    their length; an empty table gives an empty result; a column named parts is replaced, all others stay.
+    """
+    p = Positional(pages, ["parts"])
+    return p.restore(p.df.withColumn("parts", _parts(p.col(html_col))))
 
 
 def payload_of(text: F.Column) -> F.Column:
@@ -107,26 +137,30 @@ def payload_of(text: F.Column) -> F.Column:
     return F.concat(raw, F.unhex(F.repeat(F.lit("00"), pad)))
 
 
-def stored_image(payload: F.Column) -> F.Column:
-    """The payload as an 8-bit grey image (binary PGM), WIDTH samples a row: lossless, a header and the samples."""
-    head = F.concat(F.lit(f"P5\n{WIDTH} "), (F.octet_length(payload) / WIDTH).cast("long").cast("string"), F.lit("\n255\n"))
-    return F.concat(F.encode(head, "UTF-8"), payload)
+def stored_image(text: F.Column) -> F.Column:
+    """The payload of a text as an 8-bit grey image (binary PGM), WIDTH samples a row: lossless, a header that also says
+    how many bytes aren't padding, and the samples."""
+    payload = payload_of(text)
+    n = F.octet_length(F.coalesce(text, F.lit(""))).cast("string")
+    rows = (F.octet_length(payload) / WIDTH).cast("long").cast("string")
+    return F.concat(F.encode(F.concat(F.lit("P5\n#"), n, F.lit(f"\n{WIDTH} "), rows, F.lit("\n255\n")), "UTF-8"), payload)
 
 
 def media_store(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One stored image per distinct payload: digest (of the payload), media. Equal payloads meet in one row, pre-aggregated."""
-    made = docs.select(payload_of(F.col(text_col)).alias("_payload"))
-    made = made.select(F.sha2("_payload", 256).alias("digest"), stored_image(F.col("_payload")).alias("media"))
-    return made.groupBy("digest").agg(F.first("media").alias("media"))
+    """One stored image per distinct text: digest (of the stored form), media. Equal texts meet in one row,
+    pre-aggregated, so that a text that a third of all rows hold is sent once by each task. A null text counts as empty,
+    whose image is padding; an empty table gives an empty store; other columns don't matter."""
+    made = docs.select(stored_image(F.col(text_col)).alias("media"))
+    return made.groupBy(F.sha2("media", 256).alias("digest")).agg(F.first("media").alias("media"))
 
 
-def read_image(media: bytes) -> bytes:
-    """The samples of a stored image."""
-    magic, size, top, samples = media.split(b"\n", 3)
+def read_image(media: bytes) -> tuple[bytes, int]:
+    """The samples of a stored image, and how many of them aren't padding."""
+    magic, said, size, top, samples = media.split(b"\n", 4)
     width, height = map(int, size.split())
-    if magic != b"P5" or top != b"255" or len(samples) != width * height:
+    if magic != b"P5" or said[:1] != b"#" or top != b"255" or len(samples) != width * height:
         raise ValueError("not a stored image")
-    return samples
+    return samples, int(said[1:])
 
 
 def image_feature(samples: bytes) -> str:
@@ -141,49 +175,94 @@ def image_feature(samples: bytes) -> str:
     return f"{bits:016x}:{int(rows.sum(dtype=np.int64)) * 1000 // rows.size}"
 
 
-RESOLVED = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+RESOLVED = (
+    "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+)
+_FIGURES = [x.split()[0] for x in RESOLVED.split(", ")]
 
 
-def _features(batches):
+def _read(batches):
     for batch in batches:
-        rows = {name.split()[0]: [] for name in RESOLVED.split(", ")}
+        rows = {name: [] for name in _FIGURES}
         for digest, media in zip(batch["digest"].to_pylist(), batch["media"], strict=True):
             media = media.as_buffer().to_pybytes()
-            samples = read_image(media)
-            made = (digest, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), image_feature(samples))
+            samples, n = read_image(media)
+            whole = hashlib.sha256(media).hexdigest()
+            if whole != digest:
+                raise ValueError(f"the image stored as {digest} has digest {whole}")
+            made = (digest, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), whole, image_feature(samples))
             for column, value in zip(rows.values(), made, strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_pydict(rows)
 
 
 def read_store(store: DataFrame) -> DataFrame:
-    """Reads every stored image back: its figures and feature by digest."""
-    return store.mapInArrow(_features, RESOLVED)
+    """Reads every stored image back and holds it against its digest: figures and feature by digest. An image that isn't
+    what its digest says is an error; a store without rows gives none; rows that repeat are read each."""
+    return store.select("digest", "media").mapInArrow(_read, RESOLVED)
 
 
-def resolve(pages: DataFrame, read: DataFrame, id_cols: list[str]) -> DataFrame:
-    """One row per media part of interleave(pages), by digest with what is read from the store: ids, position, caption, figures.
+def references(pages: DataFrame, read: DataFrame, id_cols: list[str]) -> DataFrame:
+    """One row per media part of interleave(pages): id_cols, position, ordinal (among media parts, from 0), source,
+    caption, digest, and by digest what is read from the store.
 
-    The join is left outer: a reference whose digest isn't stored keeps its row, with nulls. Pages without media have
-    no row. Repeated references and repeated pages each keep theirs.
+    The join is left outer: a reference whose digest isn't stored, or that is an address, keeps its row, with nulls. Pages
+    without media have no row. Repeated references and repeated pages each keep theirs.
     """
-    parts = pages.select(*id_cols, F.explode("parts").alias("_p")).where(F.col("_p.kind") == "media")
-    refs = parts.select(*id_cols, F.col("_p.position").alias("position"), F.col("_p.caption").alias("caption"), F.col("_p.digest").alias("digest"))
-    return refs.join(read, "digest", "left")
-
-
-def as_pages(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """A page per document that refers to the document's stored payload by digest, with the byte count as caption."""
-    payload = F.sha2(payload_of(F.col(text_col)), 256)
-    n = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("string")
-    html = F.concat(F.lit(f'<figure><img src="{SCHEME}'), payload, F.lit('"><figcaption>'), n, F.lit("</figcaption></figure>"))
-    return docs.select("doc_id", html.alias("html"))
+    p = Positional(pages)
+    media = F.filter(p.col("parts"), lambda x: x["kind"] == "media")
+    rows = p.df.select(*[p.col(c).alias(f"id{i}") for i, c in enumerate(id_cols)], F.posexplode(media).alias("ordinal", "_p"))
+    refs = rows.select(*[f"id{i}" for i in range(len(id_cols))], "_p.position", "ordinal", "_p.source", "_p.caption", "_p.digest")
+    names = [*id_cols, "position", "ordinal", "source", "caption", "digest", *_FIGURES[1:]]
+    joined = refs.join(read, "digest", "left")
+    return joined.select(*[f"id{i}" for i in range(len(id_cols))], *names[len(id_cols) :]).toDF(*names)
+
+
+def resolve(pages: DataFrame, read: DataFrame) -> DataFrame:
+    """interleave(pages) with resolved: parts in their order, where each media part has in media what is read from the
+    store by its digest (null if nothing is stored). Texts don't move: only references meet the store, and go back by
+    the number of their row in a written copy of pages. Null parts stay null; a column named resolved is replaced."""
+    p = Positional(pages, ["resolved"])
+    parts = p.name("parts")
+    rows = cut(p.df.withColumn("_row", F.monotonically_increasing_id()))
+    refs = references(rows.select("_row", F.col(parts).alias("parts")), read, ["_row"])
+    found = refs.where(F.col("media_sha256").isNotNull()).select("_row", F.struct("position", F.struct("digest", *_FIGURES[1:]).alias("media")).alias("_at"))
+    found = found.groupBy("_row").agg(F.map_from_entries(F.collect_list("_at")).alias("_media"))
+    fields = lambda x: [x[f].alias(f) for f in ("position", *_STRINGS)]
+    media = lambda x: F.try_element_at("_media", x["position"]).alias("media")
+    joined = rows.join(found, "_row", "left").withColumn("resolved", F.transform(parts, lambda x: F.struct(*fields(x), media(x))))
+    return p.restore(joined)
+
+
+def _paragraphs(text: F.Column) -> F.Column:
+    """The text as markup: a paragraph per line."""
+    for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(reference))
+    return F.concat(F.lit("<p>"), F.replace(text, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+
+
+def as_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A page per document: its id, and html with the first line, a figure of its stored image, captioned with the id,
+    the other lines, and the image once more with an alt text. Null texts count as empty, a null id is captioned so."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    first = F.substring_index(text, "\n", 1)
+    rest = F.expr("substring(_text, length(_first) + 2)")
+    source = F.concat(F.lit(f'<img src="{SCHEME}'), F.sha2(stored_image(text), 256))
+    d = docs.select(F.col(id_col).alias(id_col), text.alias("_text"), first.alias("_first"), source.alias("_source"))
+    caption = F.concat(F.lit("Document "), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    figure = F.concat(F.lit("<figure>"), "_source", F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    html = F.concat(_paragraphs(F.col("_first")), figure, _paragraphs(rest), "_source", F.lit('" alt="'), caption, F.lit(', again">'))
+    return d.select(id_col, html.alias("html"))
 
 
 def op4_media_columns(spark, sf_dir: str) -> DataFrame:
-    """Every document's payload, stored, referred to from a page, resolved by digest and read back."""
+    """Every document's payload, stored, referred to from between the document's lines, resolved by digest and read back.
+    position and caption are those of the figure on the page; n_parts and n_texts count the page's parts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = resolve(interleave(as_pages(docs)), read_store(media_store(docs)), ["doc_id"])
+    pages = interleave(as_pages(docs)).drop("html")
+    texts = F.size(F.filter("parts", lambda x: x["kind"] == "text"))
+    pages = pages.select("doc_id", "parts", F.size("parts").alias("n_parts"), texts.alias("n_texts"))
+    rows = references(pages, read_store(media_store(docs)), ["doc_id", "n_parts", "n_texts"]).where("ordinal = 0")
     return rows.select(
-        "doc_id", F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_parts", "n_texts"
     )

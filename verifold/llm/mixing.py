@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, with_small
+from ._ranks import with_ties
+from ._spark import Positional, cut, with_small
 
 #: Bits of the hash that seeds a document's draw and its place in the shuffle.
 BITS = 52
@@ -43,10 +44,11 @@ def poisson_count(rate: F.Column, u: F.Column) -> F.Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, source_col: str = "source") -> DataFrame:
-    """Mean repetitions of a document of each source: source, n_docs, rate.
+    """Mean repetitions of a document of each source.
 
     A source's share of the mixture is its weight over all weights of the sources present; weights names some of
-    them, any other has weight 1. The mixture has epochs times the rows of docs on average. A null source is a source.
+    them, any other has weight 1. The mixture has epochs times the rows of docs on average. A null source is a source;
+    repeated rows count each, an empty table has no sources. Columns: _source, _n_docs, _rate.
     """
     weight = F.lit(1.0)
     for name, value in (weights or {}).items():
@@ -70,19 +72,24 @@ def mix_poisson(
     """Replicate rows to target source weights and shuffle them: docs' columns and mix_rate, mix_copies, mix_copy, mix_key.
 
     Each row is kept mix_copies times (0: not at all), the inverse Poisson distribution with its source's mean at a
-    uniform number hashed from seed and id; repeated rows of one id get equal counts. mix_key orders all copies at
-    random; they are dealt to partitions by it and sorted within. Nulls: a null id is hashed as a value, a null
-    source is a source of its own. Columns of docs with these names are replaced. Empty tables give empty results.
+    uniform number hashed from seed and id. Rows that share an id, or have none, are drawn each for itself: the first
+    (see with_ties) by the id alone, the others by the id and their number, so that however many they are, the mixture
+    keeps its target. mix_key orders all copies at random; they are dealt to partitions by it and sorted within. A null
+    source is a source of its own. Null, empty and very long texts and other columns don't matter; columns of docs with
+    these names are replaced. Empty tables give empty results.
     """
-    made = ("mix_rate", "mix_copies", "mix_copy", "mix_key")
-    docs = docs.drop(*made)
-    rates = source_rates(docs, weights, epochs, source_col).drop("_n_docs")
-    u = _hash52(F.lit(seed), F.col(id_col)) / F.lit(float(2**BITS))
-    drawn = with_small(docs, rates, docs[source_col].eqNullSafe(rates["_source"])).drop("_source")
-    drawn = drawn.withColumnRenamed("_rate", "mix_rate").withColumn("mix_copies", poisson_count(F.col("mix_rate"), u))
+    p = Positional(docs, ["mix_rate", "mix_copies", "mix_copy", "mix_key"])
+    id_name, source = p.name(id_col), p.name(source_col)
+    rates = source_rates(p.df, weights, epochs, source).select(F.col("_source"), F.col("_rate").alias("mix_rate"))
+    drawn = with_ties(p.df, id_name)
+    key = F.coalesce(F.col(id_name).cast("string"), F.lit("null"))
+    key = F.when(F.col("tie") > 0, F.concat_ws(":", key, "tie")).otherwise(key)
+    drawn = with_small(drawn.withColumn("_key", key), rates, F.col(source).eqNullSafe(F.col("_source")))
+    u = _hash52(F.lit(seed), F.col("_key")) / F.lit(float(2**BITS))
+    drawn = drawn.withColumn("mix_copies", poisson_count(F.col("mix_rate"), u))
     copies = drawn.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")))
-    keyed = copies.withColumn("mix_key", _hash52(F.lit(seed), F.col(id_col), F.col("mix_copy")))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    keyed = copies.withColumn("mix_key", _hash52(F.lit(seed), F.col("_key"), F.col("mix_copy")))
+    return p.restore(keyed.repartition("mix_key").sortWithinPartitions("mix_key"))
 
 
 def op9_mix_poisson(spark, sf_dir: str) -> DataFrame:

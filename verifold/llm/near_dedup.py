@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import Positional, cut
 from ._text import mix, text_buffers, window_hashes, window_starts, word_hashes
 
 WIDTH = 5
@@ -279,6 +279,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _key(id_col: str) -> F.Column:
+    """The id as a key that is never null."""
+    return F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("key")
+
+
 def classes(
     docs: DataFrame,
     width: int = WIDTH,
@@ -288,16 +293,17 @@ def classes(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, node (the digest of the text), class_id (the least doc_id of the class) for every row.
+    """doc_id, node (the digest of the text), class_id (the least doc_id of the class), class_node (the least node of the
+    class) for every row.
 
     Rows of equal text are in one class, and so are rows whose multisets of width-word shingles have a weighted Jaccard
     similarity of at least similarity, and rows that such links join. A null text counts as empty; texts without words
-    are only like each other if equal; texts of fewer than width words are one shingle. A null id counts as the least
-    long. Repeated rows stay repeated; other columns don't matter; an empty table gives an empty result.
+    are only like each other if equal; texts of fewer than width words are one shingle. Null ids stay null; class_id is
+    the least of the others, null if there is none. Rows that repeat, or share an id, each have their row; very long texts
+    are read whole; other columns don't matter, whatever their names; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    source = docs.select(ids.alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("node"), text.alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("node"), text.alias("text"))
     signed = cut(source.mapInArrow(_sign(width, bands, rows), _SIGNED))
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands")))
 
@@ -309,10 +315,9 @@ def classes(
     member = cut(member.join(central, "node"))  # key, node, n, members, central
 
     # one text per node, that of its least id: the id is part of the key, so the copies of a text are spread
-    reps = nodes.select("node", F.col("rep").alias("doc_id"), "n", "bands").join(central.select("node"), "node")
-    chosen = source.join(reps, ["node", "doc_id"]).select("node", "n", "bands", "text")
-    made = chosen.mapInArrow(_features(width), _FEATURES)
-    features = cut(made.dropDuplicates(["node"]))  # repeated rows give a node twice
+    reps = nodes.select("node", _key("rep"), "n", "bands").join(central.select("node"), "node")
+    once = source.select("node", _key("doc_id"), "text").dropDuplicates(["node", "key"])  # rows of one text and id leave a task once
+    features = cut(once.join(reps, ["node", "key"]).select("node", "n", "bands", "text").mapInArrow(_features(width), _FEATURES))
 
     rank = F.struct("central", "node")
     leaders = cut(member.groupBy("key").agg(F.max(rank)["node"].alias("leader"), F.max_by("n", rank).alias("leader_n")))
@@ -337,23 +342,30 @@ def classes(
 
     members = cut(nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     least = cut(members.groupBy("label").agg(F.min("rep").alias("class_id")))
-    named = members.join(least, "label").select("node", "class_id")
-    return signed.select("doc_id", "node").join(named, "node")
+    named = members.join(least, "label").select("node", "class_id", F.col("label").alias("class_node"))
+    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id", "class_node")
 
 
 def near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """doc_id, class_id of every row of docs: see classes() for what joins a class and for the parameters."""
-    return classes(docs, **params).select(F.expr(f"nullif(doc_id, {-(2**63) + 1} - 1)").alias("doc_id"), "class_id")
+    """doc_id, class_id of every row of docs: see classes() for what joins a class, its defined cases and the parameters."""
+    return classes(docs, **params).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """One row of docs per class: of its least id; if rows of that id differ in text, of the text of least digest; of
-    rows that repeat both, any one."""
-    found = classes(docs, id_col=id_col, text_col=text_col, **params).where("doc_id = class_id")
-    kept = found.groupBy("class_id").agg(F.min("node").alias("_node")).select(F.col("class_id").alias("_id"), "_node")
-    node = F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")))
-    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))) == F.col("_id")) & (node == F.col("_node"))
-    return docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col])
+    """One row of docs per class: of its least id (null only if it has no other); if rows of that id differ in text, of
+    the text of least digest; of rows that repeat both, any one.
+
+    Null and empty texts are one class, of which one row stays; very long texts are compared whole; an empty table gives
+    an empty result; docs' columns stay as they are, whatever their names.
+    """
+    p = Positional(docs)
+    inner, text = p.name(id_col), p.name(text_col)
+    found = classes(p.df, id_col=inner, text_col=text, **params)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), _key("doc_id"), "node"))
+    kept = found.groupBy("class_node").agg(first.alias("first")).select("first.node", "first.key")
+    node = F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")))
+    rows = p.df.withColumn("node", node).withColumn("key", F.coalesce(F.col(inner).cast("long"), F.lit(-(2**63))))
+    return p.restore(rows.dropDuplicates(["node", "key"]).join(kept, ["node", "key"], "left_semi"))
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:

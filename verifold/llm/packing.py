@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import base64
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,28 +18,63 @@ from ._spark import cut
 #: Tokens of a full sequence, and the id that ends every document.
 SEQUENCE = 1024
 END_ID = 0
+#: Distinct pieces of text whose ids a process remembers, and characters that it splits at once.
+MEMO = 1_000_000
+CHUNK = 4_000_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_encoders: dict = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def vocabulary(name: str = "byte_bpe_50k") -> tuple[str, str]:
-    """Where the public byte-level BPE vocabulary lies as ranks, and its splitting pattern."""
+    """Where the public byte-level BPE vocabulary lies, and the pattern by which its tokenizer splits texts."""
     import public_tokenizers
 
-    return public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path(f"{name}.json"), public_tokenizers.PATTERN
 
 
-def encoder(ranks_path: str, pattern: str, special: dict[str, int]):
-    """The tokenizer of a ranks file, made once a process: the ids are those of the JSON form of the same vocabulary."""
-    key = (ranks_path, pattern, tuple(special.items()))
-    if key not in _encoders:
-        import tiktoken
+class Encoder:
+    """The ids that the tokenizer of a vocabulary file gives, without special tokens of its own.
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[key] = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return _encoders[key]
+    A byte-level BPE tokenizer splits texts at its special tokens and by its pattern, then encodes each part alone. So
+    the parts of a batch are found first, each distinct one is encoded once, and a text's ids are those of its parts. No
+    lookahead of the pattern is lost: parts match the same alternative alone as in their text.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ends = "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))
+        self.special = regex.compile(f"({ends})") if ends else None
+        self.parts = regex.compile(pattern).findall
+        self.memo: dict[str, bytes] = {}
+
+    def split(self, text: str) -> list[str]:
+        if self.special is None or not self.special.search(text):
+            return self.parts(text)
+        found = self.special.split(text)  # specials have odd places
+        return list(chain.from_iterable([x] if i % 2 else self.parts(x) for i, x in enumerate(found)))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [self.split(x) for x in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        new = list(set(chain.from_iterable(split)).difference(self.memo))
+        for part, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.memo[part] = np.array(made.ids, "<u4").tobytes()
+        ids = self.memo.__getitem__
+        return [np.frombuffer(b"".join(map(ids, parts)), "<u4") for parts in split]
+
+
+def encoder(path: str, pattern: str) -> Encoder:
+    """The encoder of a vocabulary file, made once a process."""
+    if (path, pattern) not in _encoders:
+        _encoders[path, pattern] = Encoder(path, pattern)
+    return _encoders[path, pattern]
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, tuple[int, ...]]]:
@@ -85,38 +121,52 @@ def slots_of(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarra
     return dict(zip(("length", "rank", "sequence", "offset"), columns.T, strict=True))
 
 
-def _tokenize(ranks_path: str, pattern: str, size: int):
+def _chunks(batch: pa.RecordBatch):
+    """Slices of a batch with about CHUNK characters, or one row."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0)))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _tokenize(path: str, pattern: str, size: int):
     def pieces(batches):
-        encode = encoder(ranks_path, pattern, {"<|endoftext|>": 50256}).encode
+        encode = encoder(path, pattern).encode
         for batch in batches:
-            docs, starts, lengths, crcs, totals = [], [], [], [], []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.array([*encode(text.as_py() or "", allowed_special="all"), END_ID], "<u4")
-                for at in range(0, len(ids), size):
-                    piece = ids[at : at + size]
-                    docs.append(doc_id.as_py())
-                    starts.append(at)
-                    lengths.append(len(piece))
-                    crcs.append(zlib.crc32(piece.tobytes()))
-                    totals.append(len(ids))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (docs, starts, lengths, crcs, totals)], names=[x.split()[0] for x in _PIECES.split(", ")]
-            )
+            for chunk in _chunks(batch):
+                docs, starts, lengths, crcs, totals = [], [], [], [], []
+                texts = [x or "" for x in chunk["text"].to_pylist()]
+                for doc_id, ids in zip(chunk["doc_id"].to_pylist(), encode(texts), strict=True):
+                    ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+                    for at in range(0, len(ids), size):
+                        piece = ids[at : at + size]
+                        docs.append(doc_id)
+                        starts.append(at)
+                        lengths.append(len(piece))
+                        crcs.append(zlib.crc32(piece.tobytes()))
+                        totals.append(len(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, pa.int64()) for x in (docs, starts, lengths, crcs, totals)], names=[x.split()[0] for x in _PIECES.split(", ")]
+                )
 
     return pieces
 
 
-def pack_documents(docs: DataFrame, size: int = SEQUENCE, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, size: int = SEQUENCE, vocabulary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents and their places: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document is its tokens and END_ID; what exceeds size is cut into full sequences and a rest. A null or empty text
-    is END_ID alone, repeated rows and null ids are documents of their own, other columns don't matter, an empty table
-    gives no pieces. The histogram of lengths (size entries at most) goes to the driver; pieces find their pattern by
-    their rank among pieces of their length.
+    A document is its tokens and END_ID; what exceeds size is cut into full sequences and a rest, so very long texts are
+    many pieces. A null or empty text is END_ID alone; repeated rows and null ids are documents of their own; other
+    columns don't matter, whatever their names; an empty table gives no pieces. The histogram of lengths (size entries at
+    most) goes to the driver; pieces find their pattern by their rank among pieces of their length, where ties are
+    broken by their place in the written table.
     """
-    path, pattern = vocabulary() if ranks_path is None else (ranks_path, vocabulary()[1])
+    default, pattern = vocabulary()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = cut(docs.mapInArrow(_tokenize(path, pattern, size), _PIECES))
+    pieces = docs.mapInArrow(_tokenize(vocabulary_path or default, pattern, size), _PIECES)
+    pieces = cut(pieces.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id())))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = slots_of(shortest_pack_first(histogram, size))
     base = max(histogram.values(), default=0) + 1
@@ -129,9 +179,8 @@ def pack_documents(docs: DataFrame, size: int = SEQUENCE, ranks_path: str | None
         sequence = slots["sequence"][k] + rank - slots["rank"][k]
         return pa.StructArray.from_arrays([pa.array(sequence), pa.array(slots["offset"][k])], ["sequence_id", "offset"])
 
-    order = ["doc_id", "start", "ids_crc32"]
     n = sum(histogram.values())
-    placed = ranked(pieces, ["length"], F.xxhash64("doc_id", "start"), order, "_rank", n).withColumn("_at", place("length", "_rank"))
+    placed = ranked(pieces, ["length"], F.col("_salt"), ["doc_id", "start", "_salt"], "_rank", n).withColumn("_at", place("length", "_rank"))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_at.sequence_id", "_at.offset")
 
 

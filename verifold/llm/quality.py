@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import Positional
+
 #: White space between words; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Patterns of lines that are navigation: link trails, menus of separated labels, paging and sharing controls.
@@ -51,14 +53,13 @@ def score(docs: DataFrame, text_col: str = "text", window: int = 8, min_kept_sha
 
     Lines that break a rule of line_passes() are left out of cleaned_text, the others stay as they are. kept is false
     if base_failed (under min_words words, or over 30 % of the words in repeated windows), else whether at least
-    min_kept_share of the words are in passing lines. A null or empty text has no words and fails; repeated rows
-    give equal results; columns of docs with these names are replaced; empty tables give empty results.
+    min_kept_share of the words are in passing lines. A null or empty text has no words and fails; very long texts are
+    read whole; repeated rows give equal results; columns of docs with these names are replaced, all others stay,
+    whatever their names; empty tables give empty results.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_kept_words", "kept", "cleaned_text")
-    docs = docs.drop(*made)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    p = Positional(docs, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_kept_words", "kept", "cleaned_text"])
     long = lambda c: c.cast("long")
-    d = docs.select("*", text.alias("_t"))
+    d = p.df.withColumn("_t", F.coalesce(p.col(text_col), F.lit("")))
     split = F.transform(F.split("_t", "\n"), lambda x: F.struct(x.alias("line"), words(x).alias("words")))
     d = d.withColumn("_rows", split).withColumn("_words", F.flatten(F.transform("_rows", lambda r: r["words"])))
     n = F.size("_words")
@@ -110,19 +111,24 @@ def score(docs: DataFrame, text_col: str = "text", window: int = 8, min_kept_sha
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     d = d.withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("n_kept_words") >= F.col("n_words") * min_kept_share)
-    return d.withColumn("kept", kept).select(*docs.columns, *made)
+    return p.restore(d.withColumn("kept", kept))
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
-    """The kept rows of docs, their text without failing lines; n_chars, if there is one, counts the new text."""
+    """The kept rows of docs, their text without failing lines; n_chars, if there is one, counts the new text.
+
+    Null and empty texts are rejected, rows that repeat are kept or rejected alike, very long texts are read whole, an
+    empty table gives an empty result; docs' other columns stay as they are, whatever their names.
+    """
+    p = Positional(docs)
+    scored = score(p.df, p.name(text_col), **rules)
     # a filter is pushed below projections with its columns' whole expressions in place of their names, nested here
     # many times over; a column that isn't deterministic holds it where it stands
-    scored = score(docs, text_col, **rules).withColumn("_row", F.monotonically_increasing_id())
-    d = scored.where(F.col("kept") & (F.col("_row") >= 0))
-    d = d.withColumn(text_col, F.col("cleaned_text"))
+    d = scored.withColumn("_row", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("_row") >= 0))
+    d = d.withColumn(p.name(text_col), F.col("cleaned_text"))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+        d = d.withColumn(p.name("n_chars"), F.length("cleaned_text").cast(docs.schema["n_chars"].dataType))
+    return p.restore(d)
 
 
 def op1_quality_lines(spark, sf_dir: str) -> DataFrame:

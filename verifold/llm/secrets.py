@@ -6,12 +6,15 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import Positional
+
 #: Kinds in the order in which spans of one start are listed; the first three are patterns alone, the rest are confirmed by structure.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "sshkey")
 BASE_KINDS = KINDS[:3]
@@ -22,14 +25,19 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ASSIGN_CUES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this finds the runs of [0-9a-f]+ that are long enough
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: A body's lines may be broken by white space, by escaped line ends and by the quotes of string literals; escapes are possessive, read in one way.
-_PEM = re.compile(r"""-----BEGIN ([A-Z0-9 ]+)-----((?:[A-Za-z0-9+/=\s"',]|\\++[nrt]?+)+?)-----END \1-----""")
+#: Also what begins like a token and goes on otherwise, so that no place in it is tried again.
+_JWT = re.compile(r"eyJ[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++(?P<whole>\.)[A-Za-z0-9_-]*+)?")
+#: A key's encoding has at most so many bytes (that of a 16,384-bit private key has 9,300).
+MAX_KEY_BYTES = 1 << 16
+#: A body's lines may be broken by white space, by escaped line ends and by the quotes of string literals. Repeats are
+#: possessive: a body holds no hyphen, so it can end in one place only.
+_PEM = re.compile(r"""-----BEGIN ([A-Z0-9 ]++)-----((?:[A-Za-z0-9+/=\s"',]++|\\++[nrt]?+)++)-----END \1-----""")
 _PEM_BREAK = re.compile(r"""\\+[nrt]?|[\s"',]+""")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 #: Runs that a key may begin with (a SEQUENCE, an algorithm's length, the container's name), at a run's start or after an escaped line end.
 _WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr]))(?=M[A-P]|AAAA[B-P]|b3BlbnNzaC1r)[A-Za-z0-9+/_-]{16,}={0,2}")
 _NEXT_LINE = re.compile(r"[\x20\t]*+(?:\r?\n|(?:\\++[nr])+)[\x20\t]*+([A-Za-z0-9+/_-]++={0,2})")
+_SSH_NAME = re.compile(rb"\0\0\0[\x01-\x40](?:ssh|ecdsa|sk)-")
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{24,}")
 _ANY_HEX_TABLE = bytes(120 if chr(b) in "0123456789abcdefABCDEF" else 32 for b in range(256))
 _HEX_TABLE = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -96,10 +104,10 @@ def _unbase64(text: str) -> bytes | None:
 
 
 def is_signed_token(text: str) -> bool:
-    """Three dotted parts: a JSON object with `alg`, and a JSON object."""
+    """Three dotted parts: a JSON object with `alg`, and a JSON object. What nests too deep to be read is none."""
     try:
         head, body = (json.loads(_unbase64(x) or b"") for x in text.split(".")[:2])
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
@@ -110,27 +118,62 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "sshkey" if is_ssh_key(data) else None
 
 
-def _wrapped_key(text: str, first: re.Match) -> tuple[str, int] | None:
-    """Kind and end of the key whose first line is given: lines of one width, and a last one that may be shorter."""
-    lines, ends, need = [first[0]], [first.end()], None
+class _Lines:
+    """Chains of consecutive lines of base64 in a text, each read once: the lines, their ends, and for each line the
+    last one that follows it at the same width without padding between."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.places: dict[int, tuple[tuple[list[str], list[int], list[int]], int]] = {}
+
+    def at(self, first: re.Match) -> tuple[tuple[list[str], list[int], list[int]], int]:
+        """The chain that holds a line, and the line's place in it."""
+        if first.start() not in self.places:
+            lines, starts, ends = [first[0]], [first.start()], [first.end()]
+            while m := _NEXT_LINE.match(self.text, ends[-1]):
+                lines.append(m[1])
+                starts.append(m.start(1))
+                ends.append(m.end())
+            last = list(range(len(lines)))
+            for k in range(len(lines) - 2, -1, -1):
+                if len(lines[k]) == len(lines[k + 1]) and "=" not in lines[k]:
+                    last[k] = last[k + 1]
+            chain = (lines, ends, last)
+            self.places |= {start: (chain, k) for k, start in enumerate(starts)}
+        return self.places[first.start()]
+
+
+def _wrapped_key(text_lines: _Lines, first: re.Match) -> tuple[str, int] | None:
+    """Kind and end of the key whose first line is given: lines of one width, and a last one that may be shorter. Keys
+    have at most MAX_KEY_BYTES, so a place costs no more than that."""
+    need = None
+    most = -(-4 * MAX_KEY_BYTES // 3)
     if first[0][0] == "M":  # the SEQUENCE tells its length, so what follows it in lines of its own is left
         head = _unbase64(first[0][:16]) or b"00"
         n = head[1] & 0x7F if head[1] & 0x80 else 0
         need = -(-4 * (2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])) // 3)
-    at = len(first[0])
-    while (need is None or at < need) and "=" not in lines[-1] and (m := _NEXT_LINE.match(text, ends[-1])) and len(m[1]) <= len(first[0]):
-        lines.append(m[1])
-        ends.append(m.end())
-        at += len(m[1])
-        if len(m[1]) < len(first[0]):
-            break
-    counts = [len(lines), len(lines) - 1] if need is None else [len(lines)]
-    for k in counts:
-        if k and (kind := _key_kind(_unbase64("".join(lines[:k])))):
-            return kind, ends[k - 1]
+    elif not first[0].startswith("b3BlbnNzaC1r") and not _SSH_NAME.match(_unbase64(first[0].rstrip("=")[: len(first[0]) // 4 * 4]) or b""):
+        return None
+    (lines, ends, last), k = text_lines.at(first)
+    width, end = len(lines[k]), last[k] + 1
+    if "=" not in lines[end - 1] and end < len(lines) and len(lines[end]) < width:
+        end += 1
+    if need is not None:
+        end = min(end, k + max(1, -(-need // width)))
+    if max(need or 0, (end - k) * width) > most + width:
+        return None
+    for stop in (end, end - 1) if need is None else (end,):
+        if stop > k and (kind := _key_kind(_unbase64("".join(lines[k:stop])))):
+            return kind, ends[stop - 1]
     return None
 
 
+def _within(spans: list[tuple[int, int]], at: int) -> bool:
+    """Whether one of the spans, in order and apart, holds a place."""
+    k = bisect_right(spans, (at, float("inf"))) - 1
+    return k >= 0 and at < spans[k][1]
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of one text, in code points, by start and then in the order of KINDS."""
     if not text:
@@ -152,7 +195,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
             if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
                 found.append((kind, m.start(), m.end()))
     if "eyJ" in text:
-        found += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
+        found += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if m["whole"] and is_signed_token(m[0])]
     pems = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
@@ -161,13 +204,12 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
                 found.append(("pem", m.start(), m.end()))
     if b"x" * 40 in raw.translate(_RUN_TABLE):
         for m in _BASE64.finditer(text):
-            inside = any(a <= m.start() < b for a, b in pems)
-            if not inside and (kind := _key_kind(_unbase64(m[0]))):
+            if not _within(pems, m.start()) and (kind := _key_kind(_unbase64(m[0]))):
                 found.append((kind, m.start(), m.end()))
     if "\n" in text or "\\n" in text or "\\r" in text:
-        past = 0
+        past, lines = 0, _Lines(text)
         for m in _WRAPPED.finditer(text):
-            if m.start() >= past and not any(a <= m.start() < b for a, b in pems) and (key := _wrapped_key(text, m)):
+            if m.start() >= past and not _within(pems, m.start()) and (key := _wrapped_key(lines, m)):
                 past = key[1]
                 found.append((key[0], m.start(), past))
     rank = {kind: i for i, kind in enumerate(KINDS)}
@@ -185,9 +227,12 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Pattern kinds are as written; jwt, pem, der and sshkey are reported only if the decoded bytes have the structure:
     a signed token's JSON header and body, DER elements or length-prefixed strings that fill the bytes exactly.
-    Null and empty texts have no spans; repeated rows get equal spans; a column named secret_spans is replaced.
+    Null and empty texts have no spans, very long ones are read whole in time linear in their length; repeated rows get
+    equal spans; an empty table gives an empty result; a column named secret_spans is replaced, all others stay,
+    whatever their names.
     """
-    return docs.drop("secret_spans").withColumn("secret_spans", _spans(F.col(text_col)))
+    p = Positional(docs, ["secret_spans"])
+    return p.restore(p.df.withColumn("secret_spans", _spans(p.col(text_col))))
 
 
 def span_text(spans: F.Column) -> F.Column:

@@ -17,13 +17,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._ranks import with_ties
 from ._spark import partitions
 from ._text import text_buffers, window_hashes, window_starts, word_hashes
 
 #: Characters of text per group, and windows per range of hashes, about.
 GROUP_BYTES = 8_000_000
 RANGE_WINDOWS = 2_000_000
-_FIRST = -(2**63)
+_FIRST, _NULL_TIE = -(2**63), -(2**62)
 
 _SENT = "range int, g int, n int, hashes binary, checks binary, docs binary"
 _ANSWER = "g int, range int, earlier binary"
@@ -70,19 +71,17 @@ def _unpack_small(data: bytes) -> np.ndarray:
 
 
 class _Group:
-    """The windows of a group's documents, in order of id (null first), then text."""
+    """The windows of a group's documents, in order of id (null first), then tie."""
 
     def __init__(self, table: pa.Table, width: int):
         ids = table["doc_id"].combine_chunks()
-        self.null = np.array(ids.is_null())
+        null = np.array(ids.is_null())
         ids = np.array(ids.fill_null(_FIRST), np.int64)
+        ties = np.array(table["tie"].combine_chunks(), np.int64)
+        ties[null] += _NULL_TIE  # before a document that has the least id of all
         texts = table["text"].combine_chunks().fill_null("")
-        order = np.argsort(ids, kind="stable")
-        again = np.flatnonzero(ids[order][1:] == ids[order][:-1])
-        if len(again):  # repeated ids: by text, so that the order doesn't depend on how rows came
-            said = texts.to_pylist()
-            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], said[i])))
-        self.ids, self.null = ids[order], self.null[order]
+        order = np.lexsort((ties, ids))
+        self.ids, self.ties, self.null = ids[order], ties[order], null[order]
         self.texts = texts.take(pa.array(order))
         words, self.offsets = word_hashes(*text_buffers(self.texts))
         self.starts, self.doc = window_starts(self.offsets, width)
@@ -119,7 +118,8 @@ def _send(width: int, n_ranges: int):
             used, doc = np.unique(doc, return_inverse=True)
             small = np.uint16 if len(used) < 65536 else np.uint32
             ids = _pack(group.ids[used])
-            docs = len(ids).to_bytes(4, "little") + ids + _pack_small(doc.astype(small))
+            ties = _pack(group.ties[used]) if group.ties[used].any() else b""
+            docs = len(ids).to_bytes(4, "little") + len(ties).to_bytes(4, "little") + ids + ties + _pack_small(doc.astype(small))
             rows.append((int(r), g, int(b - a), _pack_sorted(group.hashes[a:b]), group.distinct_checks[a:b].tobytes(), docs))
         names = [x.split()[0] for x in _SENT.split(", ")]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -131,15 +131,21 @@ def _send(width: int, n_ranges: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """For each group that sent windows of this range: which of them start in an earlier document of another group."""
-    hashes, checks, ids, sizes = [], [], [], []
+    hashes, checks, ids, ties, sizes = [], [], [], [], []
     for row in table.select(["n", "hashes", "checks", "docs"]).to_pylist():
         hashes.append(_unpack_sorted(row["hashes"], row["n"]))
         checks.append(np.frombuffer(row["checks"], np.uint16))
-        docs, size = row["docs"], int.from_bytes(row["docs"][:4], "little")
-        known = _unpack(docs[4 : 4 + size], np.int64)
-        ids.append(known[_unpack_small(docs[4 + size :])])
+        docs, size, more = row["docs"], int.from_bytes(row["docs"][:4], "little"), int.from_bytes(row["docs"][4:8], "little")
+        own = _unpack_small(docs[8 + size + more :])
+        ids.append(_unpack(docs[8 : 8 + size], np.int64)[own])
+        ties.append(_unpack(docs[8 + size : 8 + size + more], np.int64)[own] if more else None)
         sizes.append(row["n"])
     h, c, d = np.concatenate(hashes), np.concatenate(checks), np.concatenate(ids)
+    if any(t is not None for t in ties):  # documents of one id: the place among all documents stands for the id
+        t = np.concatenate([np.zeros(n, np.int64) if t is None else t for t, n in zip(ties, sizes, strict=True)])
+        order = np.lexsort((t, d))
+        step = (d[order][1:] != d[order][:-1]) | (t[order][1:] != t[order][:-1])
+        d[order] = np.concatenate([[0], np.cumsum(step)])
     order = np.argsort(h, kind="stable")
     x, y = h[order], c[order]
     if np.any((x[1:] == x[:-1]) & (y[1:] != y[:-1])):
@@ -200,17 +206,18 @@ def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", t
 
     A word goes if a window of width words covers it whose words also start earlier: in a document of smaller id, or
     before in the same document. Windows are judged on the input. Windows count as equal if 80 bits of two Rabin-Karp
-    hashes agree. Null texts are empty, texts under width words keep all; a null id comes before all others; rows of
-    one id come in order of their texts, repeated rows one after the other. Other columns don't matter; an empty table
-    gives an empty result.
+    hashes agree. Null texts are empty, texts under width words keep all, very long ones are one document like others; a
+    null id comes before all others; rows of one id are documents of their own, in the order of with_ties(), and lie in
+    different groups. Other columns don't matter, whatever their names; an empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = with_ties(docs, "doc_id")
     sizes = docs.agg(F.sum(F.octet_length("text"))).first()
     total = sizes[0] or 0
     spark = docs.sparkSession
     n_groups = max(1, -(-total // GROUP_BYTES))
     n_ranges = max(partitions(spark), -(-total // (6 * RANGE_WINDOWS)))
-    grouped = docs.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).cast("int"))
+    grouped = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(n_groups)).cast("int"))
     sent = grouped.groupBy("g").applyInArrow(_send(width, n_ranges), _SENT)
     answers = sent.groupBy("range").applyInArrow(_answer, _ANSWER)
     return grouped.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_remove(width, n_ranges), OUT)

@@ -38,6 +38,11 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def closes_itself(attrs: str) -> bool:
+    """Whether a tag ends in a slash that is no part of a value without quotes."""
+    return attrs.endswith("/") and (len(attrs) == 1 or attrs[-2] in " \t\r\n\f\"'")
+
+
 def events(html: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("open", tag, attributes as written) and ("close", tag, "") in order of the page.
 
@@ -62,7 +67,7 @@ def events(html: str) -> Iterator[tuple[str, str, str]]:
             continue
         yield "open", tag, m[3]
         if tag in _RAW_ENDS:
-            if not m[3].endswith("/"):
+            if not closes_itself(m[3]):
                 stop = _RAW_ENDS[tag].search(html, at)
                 at = stop.end() if stop else end
             yield "close", tag, ""

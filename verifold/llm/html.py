@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._markup import BLOCK_TAGS, VOID_TAGS, attributes, events
+from ._markup import BLOCK_TAGS, VOID_TAGS, attributes, closes_itself, events
 from ._spark import Positional
 
 #: Frequent words of English, German, French and Spanish.
@@ -157,7 +157,7 @@ def split_blocks(html: str) -> list[Block]:
             ends = _ENDED_BY.get(tag, ("p",))
             while walls and stack[walls[-1]][0] in ends:
                 close(walls[-1])
-        if tag in VOID_TAGS or attrs.endswith("/"):
+        if tag in VOID_TAGS or closes_itself(attrs):
             continue
         before = (tag, out, zone, links, mark)
         hidden, why = _says(tag, attrs)

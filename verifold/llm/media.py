@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._markup import BLOCK_TAGS, attributes, events
+from ._markup import BLOCK_TAGS, attributes, closes_itself, events
 from ._spark import Positional, cut
 
 #: Samples in a row of a stored image.
@@ -92,7 +92,7 @@ def parse_parts(html: str | None) -> list[dict]:
                 captions = 0
             elif tag == "figure" and figures:
                 end_figure()
-        elif tag == "figure" and not attrs.endswith("/"):
+        elif tag == "figure" and not closes_itself(attrs):
             flush()
             captions = 0
             figures.append(([], []))

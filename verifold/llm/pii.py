@@ -155,14 +155,18 @@ def _with_patterns(d: DataFrame) -> DataFrame:
 
 
 def _after(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The units that follow one of the patterns, with that pattern; units that follow none are left before any row is
-    made twice."""
+    """The units that follow one of the patterns: row, i, unit, and pair and alone, the one or two that they follow."""
     pair, alone = _patterns()
     names = [patterns.select(F.col("pattern").alias(x), F.lit(True).alias(f"is_{x}")) for x in ("pair", "alone")]
     d = _units(texts).withColumns({"pair": pair, "alone": alone}).drop("first", "last")
     d = with_small(with_small(d, names[0], "pair", "left"), names[1], "alone", "left").where("is_pair or is_alone")
-    both = F.array_compact(F.array(F.when(F.col("is_pair"), F.col("pair")), F.when(F.col("is_alone"), F.col("alone"))))
-    return d.select("row", "i", "unit", F.explode(both).alias("pattern"))
+    own = lambda x: F.when(F.col(f"is_{x}"), F.col(x)).alias(x)
+    return d.select("row", "i", "unit", own("pair"), own("alone"))
+
+
+def _each_pattern(*columns: str) -> list:
+    """columns, and a row for each of pair and alone that isn't null, as pattern."""
+    return [*columns, F.explode(F.array_compact(F.array("pair", "alone"))).alias("pattern")]
 
 
 def _counted(d: DataFrame) -> DataFrame:
@@ -182,8 +186,10 @@ def _formed(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _followers(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern, value, n of every value without an identifier's form that follows one of the patterns."""
-    units = cut(_after(texts, patterns).groupBy("pattern", "unit").agg(F.count(F.lit(1)).alias("n")))  # else values are made of all units
-    d = units.select("pattern", _value().alias("value"), "n").where((F.col("value") != "") & ~F.col("value").rlike(_FORMED))
+    # counted first, so that neither values nor rows for two patterns are made of every unit
+    units = cut(_after(texts, patterns).groupBy("pair", "alone", "unit").agg(F.count(F.lit(1)).alias("n")))
+    d = units.select(*_each_pattern("unit", "n")).select("pattern", _value().alias("value"), "n")
+    d = d.where((F.col("value") != "") & ~F.col("value").rlike(_FORMED))
     return cut(d.groupBy("pattern", "value").agg(F.sum("n").alias("n")))
 
 

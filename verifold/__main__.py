@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import claims, consistency, extraction, store, verdicts
-from .plans.records import replay
+from .plans.records import refused, replay
 from .sources import files, sinks
 
 
@@ -25,16 +25,35 @@ def _show(rows, as_json: bool, widths: dict[str, int]) -> None:
         print(row["line"])
 
 
+VERDICT_ROW = ("claim_id", "text", "verdict", "cause", "review_required", "bound")
+
+
 def cmd_verify(spark, args) -> int:
-    """Verdicts of the records below a folder; 1 if any claim is unverified."""
-    d = replay(files.record(spark, args.record)).orderBy("run_id", "claim_id").cache()
+    """Verdicts of the records below a folder; 1 if any claim is unverified, any record refused or any case in conflict."""
+    found = files.record(spark, args.record)
+    d = replay(found).orderBy("run_id", "claim_id").cache()
     _show(d, args.json, {"run_id": 16, "claim_id": 12, "text": 24, "verdict": 16, "cause": 28})
+    bad = refused(found).orderBy("run_id", "cause", "claim_id").cache()
+    _show(bad, args.json, {"run_id": 16, "cause": 20, "claim_id": 64})
+    failed = not bad.isEmpty() or not d.where(F.col("verdict") == verdicts.UNVERIFIED).isEmpty()
     if args.bank:
-        digest = F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "claim_id", "verdict", F.coalesce("cause", F.lit("")))))), 256)
-        cases = d.groupBy(F.col("run_id").alias("case_id")).agg(digest.alias("digest"))
-        if not sinks.write_cases(cases, args.bank).isEmpty():
-            return 1
-    return int(not d.where(F.col("verdict") == verdicts.UNVERIFIED).isEmpty())
+        failed |= not sinks.write_cases(cases_of(d, labels_of(found)), args.bank).isEmpty()
+    return int(failed)
+
+
+def labels_of(found):
+    """run_id, claim_id, label of the label files of records."""
+    text = F.when(F.col("member") == "labels.json", F.decode("content", "UTF-8"))
+    return found.where("member = 'labels.json'").select(F.col("record").alias("run_id"), F.explode(F.from_json(text, "map<string,string>")).alias("claim_id", "label"))
+
+
+def cases_of(verdict_rows, labels):
+    """A case per record: case_id, digest of its verdicts, and the verdicts and labels themselves, by claim."""
+    text = F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws(":", "claim_id", "verdict", F.coalesce("cause", F.lit(""))))))
+    rows = F.array_sort(F.collect_list(F.struct(*VERDICT_ROW))).alias("verdicts")
+    cases = verdict_rows.groupBy(F.col("run_id").alias("case_id")).agg(F.sha2(text, 256).alias("digest"), rows)
+    said = labels.groupBy(F.col("run_id").alias("case_id")).agg(F.array_sort(F.collect_list(F.struct("claim_id", "label"))).alias("labels"))
+    return cases.join(said, "case_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<struct<claim_id:string,label:string>>")))
 
 
 def cmd_extract(spark, args) -> int:
@@ -57,7 +76,8 @@ def cmd_consistency(spark, args) -> int:
 
 def cmd_report(spark, args) -> int:
     """Coverage, precision and recall per case and pooled; an unknown or bad label makes it an error."""
-    v, labels = spark.read.parquet(f"{args.store}/verdicts"), spark.read.parquet(f"{args.store}/labels")
+    cases = spark.read.parquet(args.store)
+    v, labels = cases.select("case_id", F.inline("verdicts")), cases.select("case_id", F.inline("labels"))
     if not verdicts.orphan_labels(labels, v).isEmpty():
         print("LABEL_INVALID", file=sys.stderr)
         return 1

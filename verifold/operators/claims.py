@@ -25,8 +25,9 @@ def paper_hash(text: Column, tag: str = PAPER_TAG) -> Column:
     return F.sha2(F.concat(F.lit(tag.encode()), F.encode(text, "UTF-8")), 256)
 
 
-def merge_mentions(claims: DataFrame, keys: list[str] = ("text", "metric", "units"), hint: str = "hint") -> DataFrame:
-    """One row per identity (nulls are equal): its mentions' distinct locations and hints, sorted, nulls left out."""
+def merge_mentions(claims: DataFrame, keys: list[str] = ("doc_id", "text", "metric", "units"), hint: str = "hint") -> DataFrame:
+    """One row per identity in its paper (nulls are equal): its mentions' distinct locations and hints, sorted, nulls left
+    out. Locations are places of one paper, so a phrase that many papers share is a row of each."""
     return claims.groupBy(*keys).agg(
         F.count("*").alias("mentions"),
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("locations"),

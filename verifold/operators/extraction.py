@@ -140,7 +140,7 @@ def candidates(papers: DataFrame) -> DataFrame:
     )
 
 
-# Cues near a value that say what it is not.
+# Cues near a value that say what it is not, and patterns of its own text and of what stands around it.
 YEAR_CUES = r"(?iU)\b(in|between|from|since|during|to)\b|[\(–—]"
 FIGURE_CUES = r"(?iU)\b(fig(?:ure)?s?\.?|table|page|pp\.?|eq(?:uation)?s?\.?|suppl(?:ementary)?)\b"
 VERSION_CUES = r"(?iU)\b(version|release|build|python)\b|\br\b"
@@ -152,6 +152,22 @@ AXIS_CUES = r"(?iU)\b(x-?axis|y-?axis|tick|scale)\b"
 RELATED_CUES = r"(?iU)\b(reported|found|showed|observed|estimated|previous|prior|study by|according to|performed by)\b"
 SURNAME_YEAR = r"\([A-Z][A-Za-z' -]{1,30},\s*(?:19|20)\d{2}\)"
 UNITS = ("kg", "g", "mg", "ml", "mm", "cm", "ms", "s", "ng")
+HEADING_MARK = r"^(#{1,6}[ \t]+)"
+WHOLE = r"^\d+\z"
+LIST_MARK = r"^[.)][ \t]"
+FOUR_DIGITS = r"^\d{4}\z"
+VERSION_OF_THREE = r"^(>=|<=|>|<|=|≈|~)?\s*\d+(\.\d+){2,}\z"
+VERSION_OF_TWO = r"^(>=|<=|>|<|=)?\s*\d+(\.\d+)+\z"
+CITATION = r"^[\d\s,;–-]+\z"
+VERSUS = r"(?i)\b(vs|versus)\s*$"
+ET_AL = r"(?i)\bet al\b"
+#: What stands before or after a value that is only a part of a longer one.
+STARTS_INSIDE, DIGIT_BEFORE = r"^[-+.,\d]", r"\d[.,]?\z"
+SIGN_BEFORE, RANGE_BEFORE = r"(?:<=|>=|[<>≤≥±¡¿]|\+/-|\+-)[ \t]*\z", r"\d[ \t]*[–—][ \t]*\z"
+MARGIN_AFTER, RANGE_AFTER = r"^[ \t]*(?:±|\+/-|\+-)[ \t]*[+-]?[.\d]", r"^[ \t]*[–—][ \t]*[+-]?[.\d]"
+DIGIT_AFTER = r"^[.,]?\d"
+#: `n =` before a number, in balanced emphasis or none.
+SAMPLE_SIZE = r"(?<![A-Za-z0-9_])(?:([*_]{1,2})([nN])\1|([nN]))[ \t]*=[ \t]*\z"
 
 
 def _near(width: int) -> Column:
@@ -163,17 +179,17 @@ def selection_cause() -> Column:
     """The first cause, in the order of the rule, for which a candidate is no claim; null if none but the metric is open."""
     c, near = F.col, _near(24)
     v = c("value")
-    heading = (c("section") != "table") & (F.length(F.regexp_extract("line", r"^(#{1,6}[ \t]+)", 1)) == c("line_offset")) & (c("line_offset") > 0)
-    bare = (c("section") != "table") & v.rlike(r"^\d+\z")
-    marker = (c("line_offset") == 0) & F.substring(c("line"), F.length(v) + 1, F.lit(2)).rlike(r"^[.)][ \t]")
-    year = v.rlike(r"^\d{4}\z") & (v.try_cast("int").between(1900, 2100)) & near.rlike(YEAR_CUES)
-    version = v.rlike(r"^(>=|<=|>|<|=|≈|~)?\s*\d+(\.\d+){2,}\z") | (near.rlike(VERSION_CUES) & v.rlike(r"^(>=|<=|>|<|=)?\s*\d+(\.\d+)+\z"))
+    heading = (c("section") != "table") & (F.length(F.regexp_extract("line", HEADING_MARK, 1)) == c("line_offset")) & (c("line_offset") > 0)
+    bare = (c("section") != "table") & v.rlike(WHOLE)
+    marker = (c("line_offset") == 0) & F.substring(c("line"), F.length(v) + 1, F.lit(2)).rlike(LIST_MARK)
+    year = v.rlike(FOUR_DIGITS) & (v.try_cast("int").between(1900, 2100)) & near.rlike(YEAR_CUES)
+    version = v.rlike(VERSION_OF_THREE) | (near.rlike(VERSION_CUES) & v.rlike(VERSION_OF_TWO))
     opener = F.substring(c("context"), c("position"), F.lit(1))
     rest = F.substring(c("context"), c("position") + 2, F.lit(1000))
     close = F.instr(rest, F.when(opener == "[", "]").otherwise(")")) - 1
     inner = F.substring(c("context"), c("position") + 1, close + 1)
-    cited = (c("position") > 0) & opener.isin("[", "(") & close.between(0, 12) & inner.rlike(r"^[\d\s,;–-]+\z")
-    related = _near(8).rlike(r"(?i)\b(vs|versus)\s*$") | near.rlike(RELATED_CUES) | c("context").rlike(r"(?i)\bet al\b") | c("context").rlike(SURNAME_YEAR)
+    cited = (c("position") > 0) & opener.isin("[", "(") & close.between(0, 12) & inner.rlike(CITATION)
+    related = _near(8).rlike(VERSUS) | near.rlike(RELATED_CUES) | c("context").rlike(ET_AL) | c("context").rlike(SURNAME_YEAR)
     return (
         F.when(c("section") == "references", "reference_numeral")
         .when(c("section") == "other", "outside_sections")
@@ -199,18 +215,14 @@ def select(found: DataFrame) -> DataFrame:
     return d.withColumn("metric", F.when(chosen, F.col("_metric"))).withColumn("units", F.when(chosen & F.col("_after").isin(*UNITS), F.col("_after"))).drop("_cause", "_metric", "_after")
 
 
-#: `n =` before a number, in balanced emphasis or none.
-SAMPLE_SIZE = r"(?<![A-Za-z0-9_])(?:([*_]{1,2})([nN])\1|([nN]))[ \t]*=[ \t]*\z"
-
-
 def admission_cause() -> Column:
     """Why a selected candidate is no claim: it cuts a longer value, is a sample size, has no name or no readable value."""
     v, before, after = F.col("value"), F.col("before"), F.col("after")
-    cut_before = v.rlike(r"^[-+.,\d]") & before.rlike(r"\d[.,]?\z")
-    operand = before.rlike(r"(?:<=|>=|[<>≤≥±¡¿]|\+/-|\+-)[ \t]*\z") | before.rlike(r"\d[ \t]*[–—][ \t]*\z")
-    centre = after.rlike(r"^[ \t]*(?:±|\+/-|\+-)[ \t]*[+-]?[.\d]") | after.rlike(r"^[ \t]*[–—][ \t]*[+-]?[.\d]")
+    cut_before = v.rlike(STARTS_INSIDE) & before.rlike(DIGIT_BEFORE)
+    operand = before.rlike(SIGN_BEFORE) | before.rlike(RANGE_BEFORE)
+    centre = after.rlike(MARGIN_AFTER) | after.rlike(RANGE_AFTER)
     return (
-        F.when(cut_before | operand | centre | after.rlike(r"^[.,]?\d"), "partial_value")
+        F.when(cut_before | operand | centre | after.rlike(DIGIT_AFTER), "partial_value")
         .when(before.rlike(SAMPLE_SIZE), "study_parameter")
         .when(F.trim("metric") == "", "unnamed_metric")
         .when(F.col("parsed").isNull(), "unparsed_value")

@@ -17,13 +17,14 @@ STAGES = (
 def bank(store: DataFrame, batch: DataFrame, key: str = "case_id", digest: str = "digest") -> tuple[DataFrame, DataFrame]:
     """(new, conflicts) of a batch: equal cases are left out as banked already, unequal ones under a stored id conflict.
 
-    Within the batch, rows of one id must agree as well; those that don't conflict.
+    Within the batch, rows of one id must agree as well; those that don't conflict. New cases keep all their columns.
     """
     grouped = batch.groupBy(key).agg(F.min(digest).alias(digest), F.max(digest).alias("_other"))
     stored = store.select(key, F.col(digest).alias("_stored"))
     d = grouped.join(stored, key, "left")
     clash = (F.col(digest) != F.col("_other")) | (F.col("_stored").isNotNull() & (F.col("_stored") != F.col(digest)))
-    return d.where(~clash & F.col("_stored").isNull()).select(key, digest), d.where(clash).select(key, F.lit("CASE_CONFLICT").alias("cause"))
+    new = d.where(~clash & F.col("_stored").isNull()).select(key)
+    return batch.dropDuplicates([key]).join(new, key, "left_semi"), d.where(clash).select(key, F.lit("CASE_CONFLICT").alias("cause"))
 
 
 def verify_members(manifest: DataFrame, files: DataFrame) -> DataFrame:

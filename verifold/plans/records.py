@@ -52,9 +52,22 @@ def read(files: DataFrame, tag: str = C.CLAIM_TAG) -> dict[str, DataFrame]:
     return {"claims": c, "bindings": b, "runs": runs, "artifacts": listed.join(objects, ["run_id", "sha256"], "left"), "stale": stale}
 
 
+def refused(files: DataFrame, tag: str = C.CLAIM_TAG) -> DataFrame:
+    """run_id, cause, claim_id of records whose bindings can't be read as they stand: a binding of no claim, or two of one.
+    Such a record has no verdicts."""
+    r = read(files, tag)
+    named = r["bindings"].select("run_id", "claim_id")
+    orphans = named.join(r["claims"].select("run_id", "claim_id"), ["run_id", "claim_id"], "left_anti").distinct()
+    twice = named.groupBy("run_id", "claim_id").count().where("count > 1")
+    problem = lambda d, cause: d.select("run_id", F.lit(cause).alias("cause"), "claim_id")
+    return problem(orphans, "ORPHAN_BINDING").unionByName(problem(twice, "DUPLICATE_BINDING"))
+
+
 def replay(files: DataFrame, tag: str = C.CLAIM_TAG) -> DataFrame:
-    """run_id, claim_id, text, verdict, cause, review_required, bound of every claim of the records."""
+    """run_id, claim_id, text, verdict, cause, review_required, bound of every claim of the records that aren't refused()."""
     r = read(files, tag)
+    bad = refused(files, tag).select("run_id").distinct()
+    r = {name: rows.join(bad, "run_id", "left_anti") for name, rows in r.items()}
     found = locate(r["bindings"], r["artifacts"], r["stale"])
     located = found.select("run_id", "claim_id", F.col("text").alias("located_text"), "locate_cause").withColumn("located", strict_decimal(F.col("located_text")).cast(NUMBER))
     parsed = with_parsed(r["claims"], "text", "p").select(

@@ -113,6 +113,7 @@ def write_once_merge(spark, d):
     stored = orders.where(k % 3 == 0).select(k.alias("case_id"), F.col("o_custkey").alias("digest"))
     batch = orders.where(k % 2 == 0).select(k.alias("case_id"), (F.col("o_custkey") + F.when(k % 12 == 0, 1).otherwise(0)).alias("digest"))
     new, conflicts = store.bank(stored, batch)
+    new = new.select(stored.columns)
     return new.select("case_id", F.lit("new").alias("outcome")).unionByName(conflicts.select("case_id", F.col("cause").alias("outcome")))
 
 
@@ -151,7 +152,7 @@ def merge_mentions(spark, d):
         F.col("l_linenumber").alias("end"),
         F.when(F.col("l_suppkey") % 2 == 0, F.col("l_suppkey").cast("string")).alias("hint"),
     )
-    merged = claims.merge_mentions(rows)
+    merged = claims.merge_mentions(rows, ["text", "metric", "units"])
     place = F.transform("locations", lambda x: F.concat_ws("-", F.lpad(x["start"].cast("string"), 10, "0"), x["end"]))
     return merged.withColumns({"locations": F.array_join(place, ","), "hints": F.array_join("hints", ",")})
 

@@ -90,13 +90,13 @@ def heading_sections(spark, d):
     """
 WITH p AS (SELECT c_custkey AS doc_id, CAST(c_acctbal AS DECIMAL(18,2))::VARCHAR AS v, c_nationkey::VARCHAR AS n FROM customer)
 SELECT doc_id, v AS value, 'mean balance' AS metric, 'kg' AS units, 'Point' AS kind FROM p
-UNION ALL SELECT doc_id, '± 0.25', 'x', NULL, 'x' FROM p WHERE false
+UNION ALL SELECT doc_id, n || '.5', 'error rate reached', NULL, 'Point' FROM p
 """,
 )
 def extract_claims(spark, d):
-    """Claims of the papers; the percent between the value and its margin keeps those two numbers apart, as refusals."""
+    """All claims of the papers; the percent between a value and its margin keeps those two apart, so the margin is a refusal."""
     found, _ = extraction.extract(_papers(spark, d))
-    return found.where("metric LIKE '%balance%'").select("doc_id", "value", "metric", "units", F.col("parsed.kind").alias("kind"))
+    return found.select("doc_id", "value", "metric", "units", F.col("parsed.kind").alias("kind"))
 
 
 @query(

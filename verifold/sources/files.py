@@ -7,6 +7,7 @@ import io
 import posixpath
 import tarfile
 import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,8 +53,20 @@ def papers(spark: SparkSession, path: str) -> DataFrame:
     return d.withColumn("cause", F.when(F.col("text").isNull(), "PAPER_UNREADABLE"))
 
 
-def artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """run_id (the folder below path), relpath, size, mtime_ns, content, sha256 of the .json, .csv and .ipynb outputs of runs."""
+def modified(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, relpath, mtime_ns of the files of runs below a local folder, in whole nanoseconds, as their capture writes them."""
+    root = Path(path)
+    found = [p for p in sorted(root.glob("*/**/*")) if p.is_file() and not p.is_symlink()]
+    rows = [(p.relative_to(root).parts[0], "/".join(p.relative_to(root).parts[1:]), p.stat().st_mtime_ns) for p in found]
+    return spark.createDataFrame(rows, "run_id string, relpath string, mtime_ns long")
+
+
+def artifacts(spark: SparkSession, path: str, times: DataFrame | None = None) -> DataFrame:
+    """run_id (the folder below path), relpath, size, mtime_ns, content, sha256 of the .json, .csv and .ipynb outputs of runs.
+
+    mtime_ns comes from times (run_id, relpath, mtime_ns: see modified()), and is null without: a timestamp of a listing
+    has no nanoseconds, and would call an output stale that was written just after its run began.
+    """
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     root = path.rstrip("/").split("://")[-1]
     inner = F.regexp_replace("path", rf"^.*?{root}/", "")
@@ -61,11 +74,12 @@ def artifacts(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract(inner, r"^([^/]+)/", 1).alias("run_id"),
         F.regexp_replace(inner, r"^[^/]+/", "").alias("relpath"),
         F.col("length").alias("size"),
-        (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"),
         "content",
         F.sha2("content", 256).alias("sha256"),
     )
-    return d.where(F.lower("relpath").rlike(r"\.(json|csv|ipynb)\z"))
+    d = d.where(F.lower("relpath").rlike(r"\.(json|csv|ipynb)\z"))
+    d = d.withColumn("mtime_ns", F.lit(None).cast("long")) if times is None else d.join(times, ["run_id", "relpath"], "left")
+    return d.select("run_id", "relpath", "size", "mtime_ns", "content", "sha256")
 
 
 def _escapes(name: str) -> bool:

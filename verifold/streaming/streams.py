@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 from ..sources.sinks import write_cases
 
 
-def bank_stream(cases: DataFrame, path: str, checkpoint: str):
-    """Banks a stream of cases (case_id, digest, ...): batches that repeat a case change nothing; what conflicts is counted out."""
-    return cases.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: write_cases(batch, path)).trigger(availableNow=True).start()
+def bank_stream(cases: DataFrame, path: str, checkpoint: str, conflicts: str | None = None):
+    """Banks a stream of cases (case_id, digest, ...): batches that repeat a case change nothing. What conflicts is written
+    below the folder of conflicts (path and `-conflicts` by default), by batch, so that a batch that runs again writes the same."""
+    beside = conflicts or f"{path.rstrip('/')}-conflicts"
+
+    def bank(batch: DataFrame, number: int) -> None:
+        write_cases(batch, path).write.mode("overwrite").parquet(f"{beside}/batch={number}")
+
+    return cases.writeStream.option("checkpointLocation", checkpoint).foreachBatch(bank).trigger(availableNow=True).start()
 
 
 def fresh_outputs(outputs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -27,14 +33,14 @@ def run_budget(outputs: DataFrame, artifact_cap: int, run_cap: int) -> DataFrame
 
     def spend(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
-        for frame in frames:
-            causes = []
-            for size in frame.sort_values("ord")["size"]:
-                cause = "ARTIFACT_TOO_LARGE" if size > artifact_cap else "CAPTURE_LIMIT_EXCEEDED" if used + size > run_cap else None
-                used += 0 if cause else int(size)
-                causes.append(cause)
-            yield frame.sort_values("ord")[["run_id", "ord", "size"]].assign(cause=causes)
+        rows = pd.concat(frames).sort_values("ord", kind="stable")  # a run's rows of a batch may come in several frames
+        causes = []
+        for size in rows["size"]:
+            cause = "ARTIFACT_TOO_LARGE" if size > artifact_cap else "CAPTURE_LIMIT_EXCEEDED" if used + size > run_cap else None
+            used += 0 if cause else int(size)
+            causes.append(cause)
         state.update((used,))
+        yield rows[["run_id", "ord", "size"]].assign(cause=causes)
 
     return outputs.groupBy("run_id").applyInPandasWithState(spend, "run_id long, ord long, size long, cause string", "used long", "append", "NoTimeout")
 

@@ -164,11 +164,6 @@ def _after(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return d.select("row", "i", "unit", own("pair"), own("alone"))
 
 
-def _each_pattern(*columns: str) -> list:
-    """columns, and a row for each of pair and alone that isn't null, as pattern."""
-    return [*columns, F.explode(F.array_compact(F.array("pair", "alone"))).alias("pattern")]
-
-
 def _counted(d: DataFrame) -> DataFrame:
     return cut(d.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n")))
 
@@ -186,10 +181,10 @@ def _formed(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _followers(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern, value, n of every value without an identifier's form that follows one of the patterns."""
-    # counted first, so that neither values nor rows for two patterns are made of every unit
+    # counted first, so that values aren't made of every unit
     units = cut(_after(texts, patterns).groupBy("pair", "alone", "unit").agg(F.count(F.lit(1)).alias("n")))
-    d = units.select(*_each_pattern("unit", "n")).select("pattern", _value().alias("value"), "n")
-    d = d.where((F.col("value") != "") & ~F.col("value").rlike(_FORMED))
+    of = lambda x: units.where(F.col(x).isNotNull()).select(F.col(x).alias("pattern"), _value().alias("value"), "n")
+    d = of("pair").unionByName(of("alone")).where((F.col("value") != "") & ~F.col("value").rlike(_FORMED))
     return cut(d.groupBy("pattern", "value").agg(F.sum("n").alias("n")))
 
 

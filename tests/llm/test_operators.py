@@ -211,7 +211,8 @@ def brute_parts(html):
                 if m := re.search('src="([^"]*)"', token):
                     out.append((m[1], None))
                 if token == "</figcaption>":
-                    out[-2] = (out[-2][0], out.pop())
+                    caption = out.pop()
+                    out[-1] = (out[-1][0], caption)
         else:
             said.append(H.unescape(token))
     return out

@@ -109,9 +109,11 @@ def test_asof_and_containment(spark):
 
 
 def test_merge_is_null_safe(spark):
-    d = spark.createDataFrame([("0.87", "acc", None, 1, 2, "h"), ("0.87", "acc", None, 1, 2, None), ("0.870", "acc", None, 3, 4, None)], "text string, metric string, units string, start int, end int, hint string")
-    got = sorted((r["text"], r["mentions"], len(r["locations"]), r["hints"]) for r in claims.merge_mentions(d).collect())
-    assert got == [("0.87", 2, 1, ["h"]), ("0.870", 1, 1, [])]
+    rows = [(1, "0.87", "acc", None, 1, 2, "h"), (1, "0.87", "acc", None, 1, 2, None), (1, "0.870", "acc", None, 3, 4, None)]
+    rows += [(2, "0.87", "acc", None, 1, 2, "g"), (None, "0.87", "acc", None, 5, 6, "n"), (None, "0.87", "acc", None, 5, 6, "n")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, metric string, units string, start int, end int, hint string")
+    got = {(r["doc_id"], r["text"]): (r["mentions"], len(r["locations"]), r["hints"]) for r in claims.merge_mentions(d).collect()}
+    assert got == {(1, "0.87"): (2, 1, ["h"]), (1, "0.870"): (1, 1, []), (2, "0.87"): (1, 1, ["g"]), (None, "0.87"): (2, 1, ["n"])}
 
 
 def test_claim_id_frames_its_fields(spark):

@@ -87,6 +87,30 @@ def test_columns_and_gutter(spark):
     assert g == (251.0 + 320.0) / 2
 
 
+def test_columns_query_rounds_as_its_sql(spark, tmp_path):
+    """Pages of 640 runs whose centers are halves of a millionth."""
+    import duckdb
+
+    from verifold.plans.intake_queries import QUERIES, SQL
+
+    def page(k, starts):
+        return [(k, i, i, (x - k) * pow(13, -1, 3000) % 3000, 1.0) for i, x in enumerate(starts)]
+
+    rows = [r for j in range(1, 640, 2) for r in page(j, [193 + i + (i >= 640 - j) for i in range(640)])]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {tuple(r) for r in QUERIES["layout_columns"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        assert got == set(c.execute(SQL["layout_columns"]).fetchall())
+
+
+def test_columns_of_equal_starts(spark):
+    """Runs that share a start are in one cluster, however the sort left them."""
+    rows = [(1, 1, 700.0, x, 10.0, 1.0, f"{x}-{i}") for i in range(30) for x in (0.0, 5.0, 40.0, 41.0)]
+    got = layout.x_clusters(runs(spark, rows).repartition(7)).orderBy("cluster").collect()
+    assert [(r["cluster"], r["center"], r["members"]) for r in got] == [(0, 2.5, 60), (1, 40.5, 60)]
+
+
 def test_headings_and_tables(spark):
     d = runs(spark, [(1, 1, 700.0 - 20 * i, 50.0, 10.0, 5.0, "b") for i in range(20)] + [(1, 2, 700.0 - 20 * i, 50.0, 16.0, 5.0, "h") for i in range(4)] + [(1, 3, 700.0 - 20 * i, 50.0, 12.0, 5.0, "h") for i in range(4)])
     found = layout.lines(d)

@@ -127,6 +127,44 @@ def test_tokens_are_those_of_the_vocabulary_file():
         assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_units_of_earlier_batches(monkeypatch):
+    """Texts cut at spaces, line ends and signs, in batches of which later ones know units, or have forgotten them."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path, pattern = packing.vocabulary()
+    whole, encoder = tokenizers.Tokenizer.from_file(path), packing.Encoder(path, pattern)
+    monkeypatch.setattr(packing, "MEMO", 300)
+    rng = np.random.default_rng(2)
+    words = ["one", "Zwei", "naïve", "it's", "x", "7", "12,5", "日本", "a…", "ſ", "𝒳", "'s", "$", "w" * 40, "<|endoftext|>", "\u0345", "\u200b"] + [f"w{i}" for i in range(400)]
+    ends = ["", "", "", ".", ",", "...", "!?", "'", ")\"", "…", "«"]
+    gaps = [" "] * 12 + ["\n", "\n", "\n\n", "\n\n\n", "\t", "  ", " \n", "\n ", "\u3000", "\xa0", "\x1f"]
+    pick = lambda x, n, p=None: rng.choice(np.array(x, object), n, p=p)
+    few = np.array([4.0] * 12 + [0.05] * 11) / (48 + 0.55)
+    for k in range(12):
+        texts = ["".join(pick(words, n) + pick(ends, n) + pick(gaps, n, few)) for n in rng.integers(0, 60, 80)]
+        for text, got in zip(texts, encoder.encode(texts), strict=True):
+            assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, (k, text)
+        assert len(encoder.known) <= 2000
+
+
+def test_remembered_units_are_small():
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+
+    encoder = packing.Encoder(*packing.vocabulary())
+    encoder.encode(["warm up"])
+    letters = str.maketrans("01234567", "aeiortns")
+    gc.collect()
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    encoder.encode([" ".join(f"q{i:o}z".translate(letters) for i in range(k, k + 20_000)) for k in range(0, 100_000, 20_000)])
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert kept < 80 * 100_000
+
+
 def test_deep_json_is_no_token():
     import base64
 

@@ -165,6 +165,32 @@ def test_remembered_units_are_small():
     assert kept < 80 * 100_000
 
 
+def test_workers_give_back_freed_memory():
+    """Small blocks that are freed below one that isn't stay with a process unless it gives them back."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import re
+import numpy as np
+from verifold.llm import _spark, near_dedup, packing
+def private():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+held = []
+def blocks(batches):
+    x = [np.ones(8000) for _ in range(4000)]
+    held.append(x[-1])
+    del x
+    yield from batches
+before = private()
+assert list(_spark.lean(blocks)(iter([1, 2]))) == [1, 2]
+assert private() - before < 60, private() - before
+"""
+    root = os.path.dirname(os.path.dirname(_arrays.__file__)) + "/.."
+    subprocess.run([sys.executable, "-c", code], check=True, env=os.environ | {"PYTHONPATH": root})
+
+
 def test_deep_json_is_no_token():
     import base64
 

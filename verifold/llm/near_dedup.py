@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import Positional, cut
+from ._spark import Positional, cut, lean
 from ._text import mix, text_buffers, window_hashes, window_starts, word_hashes
 
 WIDTH = 5
@@ -304,7 +304,7 @@ def classes(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("node"), text.alias("text"))
-    signed = cut(source.mapInArrow(_sign(width, bands, rows), _SIGNED))
+    signed = cut(source.mapInArrow(lean(_sign(width, bands, rows)), _SIGNED))
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bands").alias("bands")))
 
     band = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -317,7 +317,7 @@ def classes(
     # one text per node, that of its least id: the id is part of the key, so the copies of a text are spread
     reps = nodes.select("node", _key("rep"), "n", "bands").join(central.select("node"), "node")
     once = source.select("node", _key("doc_id"), "text").dropDuplicates(["node", "key"])  # rows of one text and id leave a task once
-    features = cut(once.join(reps, ["node", "key"]).select("node", "n", "bands", "text").mapInArrow(_features(width), _FEATURES))
+    features = cut(once.join(reps, ["node", "key"]).select("node", "n", "bands", "text").mapInArrow(lean(_features(width)), _FEATURES))
 
     rank = F.struct("central", "node")
     leaders = cut(member.groupBy("key").agg(F.max(rank)["node"].alias("leader"), F.max_by("n", rank).alias("leader_n")))
@@ -325,7 +325,7 @@ def classes(
     pairs = member.join(leaders, "key").where((F.col("node") != F.col("leader")) & alike)
     pairs = cut(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
     side = lambda x: features.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}"))
-    edges = cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(similarity), "a binary, b binary"))
+    edges = cut(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "grams_a", "grams_b").mapInArrow(lean(_verify(similarity)), "a binary, b binary"))
     labels = components(edges)
 
     labelled = cut(member.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
@@ -336,7 +336,7 @@ def classes(
     live = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     live = live.select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node", "label")
     dealt = live.join(features, "node").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    more = cut(dealt.mapInArrow(_link_blocks(similarity), "a binary, b binary").distinct())
+    more = cut(dealt.mapInArrow(lean(_link_blocks(similarity)), "a binary, b binary").distinct())
     if not more.isEmpty():
         labels = components(cut(edges.unionByName(more)))
 

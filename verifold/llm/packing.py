@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._ranks import ranked
-from ._spark import cut
+from ._spark import cut, lean
 
 #: Tokens of a full sequence, and the id that ends every document.
 SEQUENCE = 1024
@@ -21,7 +21,7 @@ END_ID = 0
 #: Distinct units whose ids a process remembers, bytes of text that are encoded at once, and units that the tokenizer is
 #: given as one text.
 MEMO = 600_000
-CHUNK = 6_000_000
+CHUNK = 4_000_000
 RUN = 500
 #: White space of any kind, and more: a character that may be in one part with white space beside it; and all others.
 _WIDE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}\x{2029}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}"
@@ -251,7 +251,7 @@ def pack_documents(docs: DataFrame, size: int = SEQUENCE, vocabulary_path: str |
     """
     default, pattern = vocabulary()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = docs.mapInArrow(_tokenize(vocabulary_path or default, pattern, size), _PIECES)
+    pieces = docs.mapInArrow(lean(_tokenize(vocabulary_path or default, pattern, size)), _PIECES)
     pieces = cut(pieces.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id())))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = slots_of(shortest_pack_first(histogram, size))

@@ -191,6 +191,56 @@ assert private() - before < 60, private() - before
     subprocess.run([sys.executable, "-c", code], check=True, env=os.environ | {"PYTHONPATH": root})
 
 
+def test_units_of_equal_hash(monkeypatch):
+    """A unit counts as known only if it is the same, whatever its hash."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path, pattern = packing.vocabulary()
+    whole, encoder = tokenizers.Tokenizer.from_file(path), packing.Encoder(path, pattern)
+    monkeypatch.setattr(packing, "_hashes", lambda units: np.zeros(len(units), np.uint64))
+    for texts in (["one two three", "four two"], ["x three one five", "", "x two six\ntwo"], ["x five four six"]):
+        for text, got in zip(texts, encoder.encode(texts), strict=True):
+            assert got.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_holds_little_at_once():
+    """What a process takes to encode a batch, beside the batch: two of them work beside an executor's JVM."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import re, threading, time
+import numpy as np
+import pyarrow as pa
+from verifold.llm import _spark, packing
+def private():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+letters = np.array(list("aeiortns"))
+rng = np.random.default_rng(5)
+words = np.array(["".join(x) for x in rng.choice(letters, (300_000, 9))], object)
+texts = [" ".join(rng.choice(words, 400)) for _ in range(4000)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(texts)], names=["doc_id", "text"])
+tokenize = _spark.lean(packing._tokenize(*packing.vocabulary(), 1024))
+del texts
+list(tokenize(iter([batch.slice(0, 1)])))
+before, most, over = private(), 0, False
+def watch():
+    global most
+    while not over:
+        most = max(most, private())
+        time.sleep(0.005)
+watcher = threading.Thread(target=watch)
+watcher.start()
+n = sum(len(x) for x in tokenize(iter([batch])))
+over = True
+watcher.join()
+print(n, most - before)
+assert n >= 4000 and most - before < 180, most - before
+"""
+    root = os.path.dirname(os.path.dirname(_arrays.__file__)) + "/.."
+    subprocess.run([sys.executable, "-c", code], check=True, env=os.environ | {"PYTHONPATH": root})
+
+
 def test_deep_json_is_no_token():
     import base64
 

@@ -51,12 +51,14 @@ def with_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataF
 
 
 def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """f for mapInArrow, after which its process gives back what memory it has freed: workers stay for later tasks, and
-    would keep the most that any task took beside what the executor's JVM needs then."""
+    """f for mapInArrow, whose process gives back what memory it has freed after each batch that f makes and at its end:
+    workers stay for later tasks, and would keep the most that any task took beside what the executor's JVM needs then."""
 
     def run(batches: Iterator) -> Iterator:
         try:
-            yield from f(batches)
+            for made in f(batches):
+                yield made
+                give_back()
         finally:
             give_back()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from itertools import chain
 
@@ -14,15 +15,19 @@ from pyspark.sql import types as T
 
 from ._ranks import ranked
 from ._spark import cut, lean
+from ._text import mix, text_buffers
 
 #: Tokens of a full sequence, and the id that ends every document.
 SEQUENCE = 1024
 END_ID = 0
-#: Distinct units whose ids a process remembers, bytes of text that are encoded at once, and units that the tokenizer is
-#: given as one text.
+#: Distinct units whose ids a process remembers, bytes of text that are encoded at once, units that the tokenizer is
+#: given as one text, and units that it is given at once: what it returns takes some hundred bytes an id.
 MEMO = 600_000
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 RUN = 500
+CALL = 10_000
+#: A random factor for each byte that a unit may hold, and for each place of one among its first.
+_BYTES, _PLACES = np.split(np.random.default_rng(7).integers(0, 2**63, 256 + 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1), [256])
 #: White space of any kind, and more: a character that may be in one part with white space beside it; and all others.
 _WIDE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}\x{2029}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}"
 _WHITE, _BLACK = f"[{_WIDE}]", f"[^{_WIDE}]"
@@ -63,7 +68,9 @@ class Encoder:
         self.bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # a character of a token's name is a byte
         for token, i in vocab.items():
             self.bytes[i] = len(token)
-        self.known, self.ids, self.lengths = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep memory of its own
+        self.known, self.ids, self.lengths = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int32)
+        self.keys, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes of known, and whose they are
 
     def split(self, text: str) -> list[str]:
         if self.ends is None or not any(x in text for x in self.special):
@@ -73,39 +80,59 @@ class Encoder:
 
     def each(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all units, end to end, and how many each has."""
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(chain.from_iterable(ids), "<u4", int(lengths.sum())), lengths
+        all_ids, all_lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for first in range(0, len(units), CALL):
+            ids = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(units[first : first + CALL], add_special_tokens=False)]
+            all_lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            all_ids += ids
+        return np.concatenate(all_ids), np.concatenate(all_lengths)
 
     def joined(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same of units that each begin with lone white space: encoded many at a time, then told apart by their bytes."""
-        found, sizes = units.to_pylist(), np.asarray(pc.binary_length(units)).astype(np.int64)
-        at = range(0, len(found), RUN)
-        made = self.tokenizer.encode_batch_fast(["".join(found[i : i + RUN]) for i in at], add_special_tokens=False)
         all_ids, all_lengths = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
-        for i, run in zip(at, made, strict=True):
-            ids, ends = np.array(run.ids, "<u4"), np.cumsum(sizes[i : i + RUN])
-            reached = np.cumsum(self.bytes[np.minimum(ids, len(self.bytes) - 1)])
-            last = np.minimum(np.searchsorted(reached, ends), len(ids) - 1)
-            if len(ids) and last[-1] == len(ids) - 1 and (reached[last] == ends).all():
-                lengths = np.diff(last, prepend=-1)
-            else:  # a vocabulary whose ids don't tell their bytes
-                ids, lengths = self.each(found[i : i + RUN])
-            all_ids.append(ids)
-            all_lengths.append(lengths)
+        for first in range(0, len(units), CALL):
+            part = units.slice(first, CALL)
+            found, sizes = part.to_pylist(), np.asarray(pc.binary_length(part)).astype(np.int64)
+            at = range(0, len(found), RUN)
+            made = self.tokenizer.encode_batch_fast(["".join(found[i : i + RUN]) for i in at], add_special_tokens=False)
+            for i, run in zip(at, made, strict=True):
+                ids, ends = np.array(run.ids, "<u4"), np.cumsum(sizes[i : i + RUN])
+                reached = np.cumsum(self.bytes[np.minimum(ids, len(self.bytes) - 1)])
+                last = np.minimum(np.searchsorted(reached, ends), len(ids) - 1)
+                if len(ids) and last[-1] == len(ids) - 1 and (reached[last] == ends).all():
+                    lengths = np.diff(last, prepend=-1)
+                else:  # a vocabulary whose ids don't tell their bytes
+                    ids, lengths = self.each(found[i : i + RUN])
+                all_ids.append(ids)
+                all_lengths.append(lengths)
         return np.concatenate(all_ids), np.concatenate(all_lengths)
 
     def remembered(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """joined() of units that are not known from earlier batches."""
-        at = np.asarray(pc.fill_null(pc.index_in(units, value_set=self.known), -1)).astype(np.int64)
-        new = at < 0
-        at[new] = np.arange(len(self.known), len(self.known) + new.sum())
-        names = pa.concat_arrays([self.known, units.filter(pa.array(new))])
-        ids, lengths = (np.concatenate(x) for x in zip((self.ids, self.lengths), self.joined(names.slice(len(self.known))), strict=True))
+        """joined() of units that are not known from earlier batches. Known ones are found by their hashes, then compared:
+        a table of all of them would be made anew for each batch."""
+        keys, at = _hashes(units), np.full(len(units), -1, np.int64)
+        place = np.searchsorted(self.keys, keys)
+        hit = np.flatnonzero(place < len(self.keys))
+        hit = hit[self.keys[place[hit]] == keys[hit]]
+        same = pc.equal(self.known.take(pa.array(self.order[place[hit]])), units.take(pa.array(hit)))
+        hit = hit[np.asarray(same, dtype=bool)]
+        at[hit] = self.order[place[hit]]
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.known) + np.arange(len(new))
+        fresh = units.take(pa.array(new))
+        made, sizes = self.joined(fresh)
+        ids, lengths = np.concatenate([self.ids, made]), np.concatenate([self.lengths, sizes.astype(np.int32)])
         found, reach = _gathered(ids, lengths, at)
-        if len(names) > MEMO:  # only this batch's
-            names, ids, lengths = units, found, np.diff(reach)
-        self.known, self.ids, self.lengths = names, ids, lengths
+        if len(lengths) > MEMO:  # only this batch's
+            order = np.argsort(keys)
+            self.known, self.ids, self.lengths = units, found, np.diff(reach).astype(np.int32)
+            self.keys, self.order = keys[order], order.astype(np.int32)
+        elif len(new):
+            by_key = np.argsort(keys[new])
+            where = np.searchsorted(self.keys, keys[new][by_key])
+            self.order = np.insert(self.order, where, at[new][by_key].astype(np.int32))
+            self.keys = np.insert(self.keys, where, keys[new][by_key])
+            self.known, self.ids, self.lengths = pa.concat_arrays([self.known, fresh]), ids, lengths
         return found, np.diff(reach)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -149,6 +176,14 @@ class Encoder:
         return [ids[a:b] for a, b in zip(reach[bounds[:-1]], reach[bounds[1:]], strict=True)]
 
 
+def _hashes(units: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each unit; bytes beyond the first 63 count in any order."""
+    data, offsets = text_buffers(units)
+    place = np.minimum(np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets)), len(_PLACES) - 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * _PLACES[place], dtype=np.uint64)])
+    return mix(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
+
+
 def _gathered(pool: np.ndarray, lengths: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of units, end to end, and where each begins and the last ends; pool has those of unit 0, 1, ... end to end."""
     n = lengths[units]

@@ -105,7 +105,7 @@ def band_keys(names: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def _pieces(batch: pa.RecordBatch, column: str, limit: int = 1_500_000):
+def _pieces(batch: pa.RecordBatch, column: str, limit: int = 1_000_000):
     """Slices of a batch with about so many bytes of text: what is computed on one takes some dozens of times that."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0))
     at = 0
